@@ -91,3 +91,17 @@ select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coales
        sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from docs left join hit using (rid) left join named using (rid)
 """
+
+ORACLE_SQL["op2_ngram_join"] = rf"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') ws from documents),
+sets as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+         else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end s from docs),
+one as (select doc_id, len(s)::bigint n, unnest(s) sh from sets),
+pairs as (select a.doc_id x, b.doc_id y, a.n nx, b.n ny, count(*) i from one a join one b on a.sh = b.sh and a.doc_id < b.doc_id
+          and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by all),
+links as (select x, y from pairs where 100 * i >= 90 * (nx + ny - i)),
+ways as (select x, y from links union all select y, x from links),
+reach(a, b) as (select doc_id, doc_id from sets union select reach.a, ways.y from reach join ways on reach.b = ways.x)
+select s.doc_id, len(s.s)::bigint n_shingles, min(r.b) component_id from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.s
+"""
