@@ -78,10 +78,10 @@ from docs left join joined using (rid)
 """
 
 ORACLE_SQL["op10_decontaminate"] = rf"""
-with items as (select coalesce(item_id::varchar, 'null') item, regexp_extract_all(lower(text), '{ALNUM}') ws from benchmark where text is not null),
+with items as (select coalesce(item_id::varchar, 'null') item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}') ws from benchmark where text is not null),
 parts as (select item, ws, least(10, len(ws)) n from items where len(ws) > 0),
 windows as (select distinct item, n, array_to_string(ws[i:i + n - 1], ' ') win from (select item, ws, n, unnest(range(1, len(ws) - n + 2)) i from parts)),
-docs as (select row_number() over () rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{ALNUM}') ws from documents),
+docs as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}') ws from documents),
 sizes as (select distinct n from windows),
 spans as (select rid, i, n, array_to_string(ws[i:i + n - 1], ' ') win from (select rid, ws, n, unnest(range(1, len(ws) - n + 2)) i from docs, sizes)),
 found as (select rid, i, n, item from spans join windows using (n, win)),
@@ -105,3 +105,33 @@ ways as (select x, y from links union all select y, x from links),
 reach(a, b) as (select doc_id, doc_id from sets union select reach.a, ways.y from reach join ways on reach.b = ways.x)
 select s.doc_id, len(s.s)::bigint n_shingles, min(r.b) component_id from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.s
 """
+
+ORACLE_SQL["op9_token_rollup"] = rf"""
+with docs as (select doc_id, source, lang, coalesce(text, '') t from documents),
+kept as (select *, doc_id = min(doc_id) over (partition by t) as stays from docs)
+select source, lang, 'alnum-1' as version, count(*)::bigint n_docs, sum(len(regexp_extract_all(lower(t), '{ALNUM}')))::bigint n_tokens
+from kept where stays group by source, lang
+"""
+
+ORACLE_SQL["op7_line_dedup"] = r"""
+with docs as (select coalesce(doc_id, 9223372036854775807) d, doc_id, coalesce(text, '') t from documents),
+raw as (select d, doc_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) - 1 n from docs),
+lines as (select * from (select d, doc_id, n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') ws from raw) where len(ws) > 0),
+firsts as (select ws, min(struct_pack(d := d, n := n)) p from lines group by ws),
+longs as (select ws, p, array_to_string(ws, ' ') w from firsts where len(ws) >= 5),
+deletions as (select w, p, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') v from (select *, unnest(range(1, len(ws) + 1)) i from longs)),
+by_place as (select v, i, min(p) p from deletions group by v, i),
+by_variant as (select v, min(p) p from deletions group by v),
+near as (
+  select w from deletions join by_place b using (v, i) where b.p < deletions.p
+  union select x.w from deletions x join longs y on x.v = y.w where y.p < x.p
+  union select y.w from longs y join by_variant b on b.v = y.w where b.p < y.p),
+judged as (
+  select l.d, l.doc_id, l.n, struct_pack(d := l.d, n := l.n) <> f.p as exact, near.w is not null as close
+  from lines l join firsts f using (ws) left join near on near.w = array_to_string(l.ws, ' ') and len(l.ws) >= 5),
+each as (
+  select d, count(*) n_lines, count(*) filter (where exact) n_exact, count(*) filter (where close and not exact) n_near,
+         string_agg(n::varchar, ',' order by n) filter (where exact or close) removed from judged group by d)
+select docs.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_exact, 0)::bigint n_exact, coalesce(n_near, 0)::bigint n_near, coalesce(removed, '') removed
+from docs left join each using (d)
+"""

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, mixing, ngram_join, quality_rules, secrets, token_files, warc
+from . import common, decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, token_files, token_rollup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), n=3, threshold=(90, 100))
 
@@ -41,22 +45,53 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents, one of them sent twice: all inserted with the count of
+    white-space words; all revised to the count of alphanumeric words; later copies of a text deleted.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    facts = docs.select("doc_id", "source", "lang", F.regexp_count(text, F.lit(common.WORD)).alias("ws"), F.regexp_count(text, F.lit(common.ALNUM.replace("\\x60", "\\x40\\x5B-\\x60"))).alias("alnum"), F.xxhash64(text).alias("h1"), F.sha2(text, 256).alias("h2"))
+    facts = common.materialize(facts, "rollup-facts")
+    store = token_rollup.Store(spark, common.scratch(spark, "rollup"))
+
+    def batch(op: str, version: str, count: str) -> DataFrame:
+        return facts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), F.col(count).alias("n_tokens"))
+
+    first = facts.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"))
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    copies = facts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["h1", "h2", "salt"]).where("doc_id <> keep")
+    gone = copies.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("alnum-1").alias("version"), F.lit(0).alias("n_tokens"))
+    store.commit("1-insert", batch("insert", "words-1", "ws"))
+    store.commit("2-revise", batch("revise", "alnum-1", "alnum"))
+    store.commit("3-delete", gone)
+    store.commit("2-revise", batch("revise", "alnum-1", "alnum"))
+    return store.totals()
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_warc": op4_warc,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op9_token_rollup": op9_token_rollup,
     "op10_decontaminate": op10_decontaminate,
 }
 
