@@ -75,7 +75,7 @@ def parse(head: bytes) -> dict[str, str]:
 def _digested(pages: DataFrame) -> DataFrame:
     """page_id, url, html as bytes, and its digests; all three in the JVM."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("payload"), F.unhex(F.sha2(html, 256)).alias("digest"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
 
 
 def pack(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
@@ -89,21 +89,21 @@ def pack(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     # One row a digest: the record that is the response, and proof that equal digests are equal payloads.
     best = brief.groupBy("digest").agg(
         F.max(F.struct("page_id", "uid")).alias("best"),
-        F.min("size").alias("s0"), F.max("size").alias("s1"), F.min("sha1").alias("h0"), F.max("sha1").alias("h1"),
+        F.count("*").alias("n"), F.min("size").alias("s0"), F.max("size").alias("s1"), F.min("sha1").alias("h0"), F.max("sha1").alias("h1"),
     )
-    checked = best.withColumn("proof", F.when((F.col("s0") != F.col("s1")) | (F.col("h0") != F.col("h1")), F.raise_error(F.lit("two payloads share a digest"))).otherwise(F.lit(True)))
-    winners = common.materialize(checked.where("proof").select(F.col("digest").alias("d"), F.col("best.page_id").alias("winner"), F.col("best.uid").alias("winner_uid")), "warc-winners")
+    proven = best.withColumn("proof", F.when((F.col("s0") != F.col("s1")) | (F.col("h0") != F.col("h1")), F.raise_error(F.lit("two payloads share a digest"))).otherwise(F.lit(True)))
+    winners = common.materialize(proven.where("proof").select("n", F.col("digest").alias("d"), F.col("best.page_id").alias("winner"), F.col("best.uid").alias("winner_uid")), "warc-winners")
 
-    salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = winners.where("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = brief.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
     linked = dealt.join(salted, (dealt["shared"] == salted["d"]) & (dealt["salt"] == salted["salt"]), "left")
-    linked = linked.select("page_id", "url", "sha1", "size", "digest", F.when(F.col("uid") != F.col("winner_uid"), F.col("winner")).alias("refers_to"), (F.col("uid") != F.col("winner_uid")).alias("revisit"))
+    linked = linked.select("page_id", "url", "sha1", "size", "digest", F.when(F.col("uid") != F.col("winner_uid"), F.col("winner")).alias("refers_to"), F.coalesce(F.col("uid") != F.col("winner_uid"), F.lit(False)).alias("revisit"))
 
     def heads(batch):
         out = [header(p, u, n, base64.b32encode(bytes.fromhex(h)).decode(), r if v else None) for p, u, n, h, r, v in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "sha1", "refers_to", "revisit")))]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(out, pa.binary())], ["page_id", "digest", "header"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(out, pa.binary()), batch.column("revisit")], ["page_id", "digest", "header", "revisit"])
 
-    common.map_arrow(linked, heads, "page_id bigint, digest string, header binary").write.parquet(f"{folder}/records")
+    common.map_arrow(linked, heads, "page_id bigint, digest binary, header binary, revisit boolean").write.parquet(f"{folder}/records")
 
     # The payload of each digest once: that of its response, found by (digest, page_id), so no hot key.
     named = winners.select("d", "winner")
@@ -118,27 +118,33 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     def verify(batch):
         data = batch.column("payload").to_pylist()
         for want, size, payload in zip(batch.column("digest").to_pylist(), batch.column("size").to_pylist(), data):
-            if hashlib.sha256(payload).hexdigest() != want or len(payload) != size:
-                raise ValueError(f"payload {want} is damaged")
+            if hashlib.sha256(payload).digest() != want or len(payload) != size:
+                raise ValueError(f"payload {want.hex()} is damaged")
         yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("size"), pa.array([sha1_base32(p) for p in data]), batch.column("payload")], ["digest", "size", "sha1", "payload"])
 
-    return common.map_arrow(stored, verify, "digest string, size bigint, sha1 string, payload binary")
+    return common.map_arrow(stored, verify, "digest binary, size bigint, sha1 string, payload binary")
 
 
-def _to_records(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """Header rows with columns of their payloads, the payload side copied to each salt."""
-    records = spark.read.parquet(f"{folder}/records").withColumn("salt", F.pmod(F.xxhash64("page_id", "header"), F.lit(SALTS)).cast("int"))
-    found = payloads(spark, folder).select("digest", *columns)
-    if "payload" in columns:  # copies of bytes are dear: the optimiser splits a hot digest instead
-        return records.drop("salt").join(found, "digest")
-    return records.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"]).drop("salt")
+def _to_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Header rows with size and sha1 of their payloads, as the store has them.
+
+    A response is the only one of its digest.  Revisits of one digest may be any share of all rows, so
+    they are dealt by a salt, and only the digests that are revisited are copied to the salts.
+    """
+    records = spark.read.parquet(f"{folder}/records")
+    found = common.materialize(payloads(spark, folder).select("digest", "size", "sha1"), "warc-verified")
+    again = records.where("revisit").withColumn("salt", F.pmod(F.xxhash64("page_id", "header"), F.lit(SALTS)).cast("int"))
+    copied = found.join(again.select("digest").distinct(), "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return records.where("not revisit").join(found, "digest").unionByName(again.join(copied, ["digest", "salt"]).drop("salt"))
 
 
 def records_of(spark: SparkSession, folder: str) -> DataFrame:
     """page_id and the exact bytes of each record as it would stand alone in an archive."""
-    rows = _to_records(spark, folder, ["payload"])
-    body = F.when(F.expr("instr(decode(header, 'UTF-8'), 'WARC-Type: revisit') > 0"), F.lit(b"")).otherwise(F.col("payload"))
-    return rows.select("page_id", "digest", F.concat("header", body, F.lit(CRLF * 2)).alias("record"))
+    records = spark.read.parquet(f"{folder}/records")
+    stored = payloads(spark, folder).select("digest", "payload")
+    end = F.lit(CRLF * 2)
+    full = records.where("not revisit").join(stored, "digest").select("page_id", "digest", F.concat("header", "payload", end).alias("record"))
+    return full.unionByName(records.where("revisit").select("page_id", "digest", F.concat("header", end).alias("record")))
 
 
 def write_warc(spark: SparkSession, folder: str, target: str, partitions: int) -> DataFrame:
@@ -161,7 +167,7 @@ def write_warc(spark: SparkSession, folder: str, target: str, partitions: int) -
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "records"])
 
     rows = records_of(spark, folder).repartitionByRange(partitions, "page_id").sortWithinPartitions("page_id", "record")
-    return common.materialize(rows.select("record").mapInArrow(run, "path string, records bigint"), "warc-files")
+    return common.materialize(rows.select("record").mapInArrow(common.trimmed(run), "path string, records bigint"), "warc-files")
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -193,5 +199,5 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    rows = _to_records(spark, folder, ["size", "sha1"]).select("header", "size", "sha1")
+    rows = _to_records(spark, folder).select("header", "size", "sha1")
     return common.map_arrow(rows, fields, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
