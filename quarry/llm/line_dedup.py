@@ -199,7 +199,7 @@ def near_links(docs: DataFrame, first: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(line[many[group]]))], ["line"])
 
     blobs = common.map_arrow(texts, halves, "bucket int, b0 binary, b1 binary").repartition(parts, "bucket")
-    candidates = common.materialize(blobs.mapInArrow(shared, "line bigint"), "line-candidates")
+    candidates = common.materialize(blobs.mapInArrow(common.trimmed(shared), "line bigint"), "line-candidates")
     marks = spark.sparkContext.broadcast(_bitmap(candidates, "line"))
 
     def variants(batch):
@@ -236,7 +236,7 @@ def near_links(docs: DataFrame, first: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(place), pa.array(line)], ["variant", "place", "line"])
 
     blobs = common.map_arrow(texts, variants, "bucket int, b0 binary, b1 binary, b2 binary").repartition(parts, "bucket")
-    met = common.materialize(blobs.mapInArrow(meet, "variant bigint, place int, line bigint"), "line-variants")
+    met = common.materialize(blobs.mapInArrow(common.trimmed(meet), "variant bigint, place int, line bigint"), "line-variants")
     rows = common.materialize(_salted(met, first, ["line"]).select("variant", "place", "line", F.struct("at", "line").alias("who")), "line-placed")
 
     whole = rows.where("place = -1").select("variant", F.col("who").alias("other"))

@@ -89,7 +89,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(k.astype(np.int64)), pa.array(source.astype(np.int32)), pa.array(ranks)], ["chunk", "slot", "six", "within"])
 
     chunks = -(-slots // CHUNK)
-    served = spark.range(0, chunks, 1, max(1, min(chunks, 4096))).mapInArrow(fill, "chunk bigint, slot bigint, six int, within bigint")
+    served = spark.range(0, chunks, 1, max(1, min(chunks, 4096))).mapInArrow(common.trimmed(fill), "chunk bigint, slot bigint, six int, within bigint")
     before = Window.partitionBy("six").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = served.groupBy("chunk", "six").agg(F.count("*").alias("n"))
     counts = common.materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "mix-slots")

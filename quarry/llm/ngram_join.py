@@ -356,8 +356,8 @@ def _groups(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                     both = np.concatenate([blocks[i], blocks[j]])
                     yield pa.RecordBatch.from_arrays([pa.array(kernels.mix(np.array([gid[g]]).view(U) + U(i * 65537 + j)).view(np.int64)), pa.array([both], pa.list_(pa.int64()))], ["gid", "members"])
 
-    blobs = docs.select("text").mapInArrow(index, "bucket int, sigs binary, ids binary")
-    return blobs.repartition(parts, "bucket").mapInArrow(meet, "gid bigint, members array<bigint>").dropDuplicates(["gid"])
+    blobs = docs.select("text").mapInArrow(common.trimmed(index), "bucket int, sigs binary, ids binary")
+    return blobs.repartition(parts, "bucket").mapInArrow(common.trimmed(meet), "gid bigint, members array<bigint>").dropDuplicates(["gid"])
 
 
 def _met(groups: DataFrame, meta: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -393,7 +393,7 @@ def _edges(met: DataFrame, bands: Bands, forest: bool) -> DataFrame:
                         vs.append(max(ids[i], ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+    return met.mapInArrow(common.trimmed(run), "u bigint, v bigint").distinct()
 
 
 def _contents(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
@@ -428,7 +428,7 @@ def _contents(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
                 if hit:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([h[offsets[k] : offsets[k + 1]].tobytes() for k in hit], pa.binary())], ["set_id", "hashes"])
 
-    found = docs.select("text").mapInArrow(run, "set_id bigint, hashes binary")
+    found = docs.select("text").mapInArrow(common.trimmed(run), "set_id bigint, hashes binary")
     return found.join(needed, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 

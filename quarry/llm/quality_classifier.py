@@ -93,7 +93,7 @@ def vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for piece in common.slices(batch, 2 << 20):
+            for piece in common.slices(batch):
                 own = contexts(*items(piece.column("text")))
                 total = own if total is None else total + own
         if total is not None:
@@ -107,8 +107,8 @@ def vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 total[block] = total[block] + own if block in total else own
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "sums"])
 
-    parts = docs.select("text").mapInArrow(add, "block int, sums binary")
-    sums = parts.repartition(BLOCKS, "block").mapInArrow(combine, "block int, sums binary").collect()
+    parts = docs.select("text").mapInArrow(common.trimmed(add), "block int, sums binary")
+    sums = parts.repartition(BLOCKS, "block").mapInArrow(common.trimmed(combine), "block int, sums binary").collect()
     table = np.zeros((BLOCKS, rows * (DIMS + 1)), np.int64)
     for r in sums:
         table[r.block] = np.frombuffer(r.sums, np.int64)
