@@ -34,6 +34,7 @@ from . import common, kernels
 U = np.uint64
 MIN_WORDS = 5
 BITMAP = 25
+SALTS = 16
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
 LAST = (1 << 63) - 1
@@ -148,11 +149,6 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def _salted(many: DataFrame, one: DataFrame, key: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
-    return dealt.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*key, "__salt"], how).drop("__salt")
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, twin (hash that tells rows with one id apart), number, line, words of every line with words."""
 
@@ -237,14 +233,15 @@ def near_links(docs: DataFrame, first: DataFrame) -> DataFrame:
 
     blobs = common.map_arrow(texts, variants, "bucket int, b0 binary, b1 binary, b2 binary").repartition(parts, "bucket")
     met = common.materialize(blobs.mapInArrow(common.trimmed(meet), "variant bigint, place int, line bigint"), "line-variants")
-    rows = common.materialize(_salted(met, first, ["line"]).select("variant", "place", "line", F.struct("at", "line").alias("who")), "line-placed")
+    rows = common.materialize(met.join(first, "line").select("variant", "place", "line", F.struct("at", "line").alias("who")), "line-placed")
 
     whole = rows.where("place = -1").select("variant", F.col("who").alias("other"))
     deleted = rows.where("place >= 0")
-    substituted = deleted.groupBy("variant", "place").agg(F.min("who").alias("other"))
-    lengthened = deleted.groupBy("variant").agg(F.min("who").alias("other"))
-    one = _salted(deleted, substituted, ["variant", "place"])
-    two = _salted(deleted, whole, ["variant"])
+    # Written first, so that a join reads plain shuffles on both sides and a hot variant can be split.
+    substituted = common.materialize(deleted.groupBy("variant", "place").agg(F.min("who").alias("other")), "line-least")
+    lengthened = common.materialize(deleted.groupBy("variant").agg(F.min("who").alias("other")), "line-least")
+    one = deleted.join(substituted, ["variant", "place"])
+    two = deleted.join(whole, "variant")
     three = rows.where("place = -1").join(lengthened, "variant")
     found = [x.where("other.at < who.at").select("line", F.col("other.line").alias("earlier")) for x in (one, two, three)]
     links = common.materialize(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "line-links")
@@ -260,7 +257,7 @@ def near_links(docs: DataFrame, first: DataFrame) -> DataFrame:
 
     full = common.map_arrow(texts, contents, "line bigint, words binary").dropDuplicates(["line"]).join(needed, "line", "left_semi")
     full = common.materialize(full, "line-contents")
-    pairs = _salted(links.join(full, "line"), full.select(F.col("line").alias("earlier"), F.col("words").alias("others")), ["earlier"])
+    pairs = common.materialize(links.join(full, "line"), "line-half").join(full.select(F.col("line").alias("earlier"), F.col("words").alias("others")), "earlier")
 
     def verify(batch):
         keep = [within_one(a.split(), b.split()) for a, b in zip(batch.column("words").to_pylist(), batch.column("others").to_pylist())]
@@ -273,10 +270,13 @@ def dropped(docs: DataFrame) -> DataFrame:
     """Per occurrence of a line with words: doc_id, twin, number, reason ('exact', 'near' or null: it stays)."""
     rows = common.materialize(occurrences(docs), "line-rows")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("twin").alias("t"), F.col("number").alias("n"))
-    first = common.materialize(rows.groupBy("line").agg(F.min(place).alias("at")), "line-first")
-    near = near_links(docs, first).select("line").distinct().withColumn("near", F.lit(True))
-    kinds = first.join(near, "line", "left")
-    each = _salted(rows, kinds, ["line"])
+    first = common.materialize(rows.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("times")), "line-first")
+    near = common.materialize(near_links(docs, first.drop("times")).select("line").distinct().withColumn("near", F.lit(True)), "line-near")
+    # Most lines stand once and near none; only the others are joined back, copied to the salts.
+    marked = first.join(near, "line", "left").where("times > 1 or near").select("line", "at", "near")
+    copied = marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "number"), F.lit(SALTS)).cast("int"))
+    each = dealt.join(copied, ["line", "salt"], "left")
     reason = F.when(place != F.col("at"), "exact").when(F.col("near"), "near")
     return each.select("doc_id", "twin", "number", reason.alias("reason"))
 
