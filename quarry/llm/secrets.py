@@ -57,7 +57,7 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = found.select("uid", "doc_id", "m.*").repartition("uid")
     through = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(through)).withColumn("start", F.col("end") - F.col("len"))
-    rows = rows.where("kind is null or ok")
+    rows = rows.withColumn("kind", F.when(F.col("ok"), F.col("kind")))  # a match that fails leaves its text a row
     scope = Window.partitionBy("uid", "scope")
     linked = rows.withColumn("scope", F.explode(F.expr(f"case when kind is null then array(0L) else array(start div {SCOPE // 2}, start div {SCOPE // 2} + 1) end")))
     linked = linked.withColumn("near_access", F.max(F.col("kind") == 1).over(scope)).withColumn("near_secret", F.max(F.col("kind").isin(0, 3)).over(scope))
