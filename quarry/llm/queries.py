@@ -59,16 +59,16 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    facts = docs.select("doc_id", "source", "lang", F.regexp_count(text, F.lit(common.WORD)).alias("ws"), F.regexp_count(text, F.lit(common.ALNUM.replace("\\x60", "\\x40\\x5B-\\x60"))).alias("alnum"), F.xxhash64(text).alias("h1"), F.sha2(text, 256).alias("h2"))
+    facts = docs.select("doc_id", "source", "lang", F.regexp_count(text, F.lit(common.WORD)).alias("ws"), F.regexp_count(text, F.lit(common.ALNUM.replace("\\x60", "\\x40\\x5B-\\x60"))).alias("alnum"), F.unhex(F.sha2(text, 256)).alias("digest"))
     facts = common.materialize(facts, "rollup-facts")
     store = token_rollup.Store(spark, common.scratch(spark, "rollup"))
 
     def batch(op: str, version: str, count: str) -> DataFrame:
         return facts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), F.col(count).alias("n_tokens"))
 
-    first = facts.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"))
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    copies = facts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["h1", "h2", "salt"]).where("doc_id <> keep")
+    shared = facts.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    copies = facts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["digest", "salt"]).where("doc_id <> keep")
     gone = copies.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("alnum-1").alias("version"), F.lit(0).alias("n_tokens"))
     store.commit("1-insert", batch("insert", "words-1", "ws"))
     store.commit("2-revise", batch("revise", "alnum-1", "alnum"))
