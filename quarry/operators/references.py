@@ -29,7 +29,8 @@ def definition_at(idents: DataFrame, symbols: DataFrame, points: DataFrame) -> D
     """For each point (file, line, col): the object of the innermost identifier there.
 
     Point-in-interval join on (file, line) with the column range; a point outside all identifiers has
-    no row.  Where the symbol isn't indexed, the identifier itself answers.
+    no row.  Where the object isn't in the symbol table (a local, a field, another tier), the identifier
+    that defines it answers, and without one the identifier itself.
     """
     p = points.select(F.col("file").alias("pf"), F.col("line").alias("pl"), F.greatest(F.col("col"), F.lit(1)).alias("pc"))
     inside = idents.join(p, (F.col("file") == F.col("pf")) & (F.col("line") == F.col("pl")) & (F.col("col") <= F.col("pc")) & (F.col("pc") < F.col("end_col")))
@@ -37,8 +38,9 @@ def definition_at(idents: DataFrame, symbols: DataFrame, points: DataFrame) -> D
     what = F.struct("obj_id", "qname", "kind", "file", "line", "col")
     inner = inside.groupBy("pf", "pl", "pc").agg(F.min_by(what, span).alias("i"))
     sym = symbols.select(F.col("obj_id").alias("so"), *(F.col(c).alias(f"s_{c}") for c in ("qname", "kind", "file", "line", "col")))
-    joined = inner.join(sym, F.col("i.obj_id") == F.col("so"), "left")
+    defined = idents.where("is_def").groupBy(F.col("obj_id").alias("do")).agg(F.min(F.struct("file", "line", "col")).alias("d"))
+    joined = inner.join(sym, F.col("i.obj_id") == F.col("so"), "left").join(defined, F.col("i.obj_id") == F.col("do"), "left")
     return joined.select(
         F.col("pf").alias("at_file"), F.col("pl").alias("at_line"), F.col("pc").alias("at_col"),
-        *(F.coalesce(F.col(f"s_{c}"), F.col(f"i.{c}")).alias(c) for c in ("qname", "kind", "file", "line", "col")),
+        *(F.coalesce(F.col(f"s_{c}"), *([F.col(f"d.{c}")] if c in ("file", "line", "col") else []), F.col(f"i.{c}")).alias(c) for c in ("qname", "kind", "file", "line", "col")),
     )
