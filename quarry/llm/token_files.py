@@ -30,6 +30,7 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,12 @@ INDEX, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 #: Units whose ids a worker keeps between batches; a bound of memory, results don't depend on it.
 KNOWN = 400_000
+#: Units a call of the tokenizer takes as one text.
+JOINED = 1000
 
-_SPACE = r"[ \t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACES = r" \t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A blank between two white-space characters, or at the end after one: there a piece may hold it.
-ODD = f"{_SPACE} (?:{_SPACE}|$)"
+ODD = f"[{_SPACES}] (?:[{_SPACES}]|$)"
 
 
 class Encoder:
@@ -63,25 +66,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
+        self.stop = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known = pa.array([], pa.large_string())
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         return flat, sizes
 
-    def _units(self, texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids`` for units of a blank and no other white space: whole lists, a line break between two.
+
+        A break before a blank is a piece of its own, so its id marks the borders.
+        """
+        lists = [units[k : k + JOINED] for k in range(0, len(units), JOINED)]
+        flat, sizes = self._ids(["\n".join(x) for x in lists])
+        flat = np.insert(flat, np.cumsum(sizes), self.stop[0])
+        cut = np.flatnonzero(flat == self.stop[0])
+        if len(cut) != len(units):
+            raise AssertionError("a unit has a line break")
+        return np.delete(flat, cut), np.diff(cut, prepend=-1) - 1
+
+    def _units(self, units: pa.Array, codes: np.ndarray, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes into (ids, sizes) that hold the units of this batch; the first KNOWN units stay for later batches."""
-        at = np.fromiter((self.known.get(x, -1) for x in texts), np.int64, len(texts))
+        at = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(at < 0)
+        plain = simple[new] if len(self.stop) == 1 else np.zeros(len(new), bool)
+        new = np.concatenate([new[plain], new[~plain]])
         at[new] = len(self.sizes) + np.arange(len(new))
-        fresh = [texts[k] for k in new.tolist()]
-        flat, sizes = self._ids(fresh)
-        flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        added = units.take(pa.array(new))
+        fresh = added.to_pylist()
+        border = int(plain.sum())
+        one, two = self._joined(fresh[:border]), self._ids(fresh[border:])
+        flat, sizes = np.concatenate([self.flat, one[0], two[0]]), np.concatenate([self.sizes, one[1], two[1]])
         if len(sizes) <= KNOWN:
-            self.known.update(zip(fresh, range(len(self.sizes), len(sizes))))
+            self.known = pa.concat_arrays([self.known, added])
             self.flat, self.sizes = flat, sizes
         return at[codes], flat, sizes
 
@@ -91,18 +112,20 @@ class Encoder:
         odd = pc.match_substring_regex(column, ODD)
         plain = pc.filter(column, pc.invert(odd))
         split = pc.split_pattern(plain, " ")
-        units, bounds = split.values, split.offsets.to_numpy()
-        lead = np.ones(len(units), bool)
+        words, bounds = split.values, split.offsets.to_numpy()
+        lead = np.ones(len(words), bool)
         lead[bounds[:-1][np.diff(bounds) > 0]] = False
-        coded = units.dictionary_encode()
+        coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = len(coded.dictionary)
         first = np.flatnonzero(~lead)
         opening, where = np.unique(codes[first], return_inverse=True)
-        texts = [" " + x for x in coded.dictionary.to_pylist()]
-        texts += coded.dictionary.take(pa.array(opening)).to_pylist()
+        led = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string()))
+        units = pa.concat_arrays([led, coded.dictionary.take(pa.array(opening))])
         codes[first] = known + where
-        codes, flat, sizes = self._units(texts, codes)
+        simple = np.zeros(len(units), bool)
+        simple[:known] = pc.match_substring_regex(coded.dictionary, f"^[^{_SPACES}]+$").to_numpy(zero_copy_only=False)
+        codes, flat, sizes = self._units(units, codes, simple)
         starts = np.cumsum(sizes) - sizes
         per_unit = sizes[codes]
         out = flat[_ranges(starts[codes], per_unit)]
@@ -123,7 +146,11 @@ class Encoder:
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each range, one range after the other."""
     at = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - at, sizes)
+    total = int(sizes.sum())
+    kind = np.int32 if total + int(starts.max(initial=0)) < 2**31 else np.int64
+    out = np.repeat((starts - at).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -250,7 +277,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, pa
         row = (part, path, len(writer.docs), writer.n_ids, size, writer.docs[0][0], writer.docs[-1][0])
         yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]]), *(pa.array([x], pa.int64()) for x in row[2:])], ["part", "path", "n_docs", "n_ids", "bytes", "first_id", "last_id"])
 
-    manifest = rows.mapInArrow(run, MANIFEST)
+    manifest = rows.mapInArrow(common.trimmed(run), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -282,4 +309,4 @@ def read_index(spark, folder: str, buckets: int | None = None) -> DataFrame:
                         base += int(sizes.sum())
                         yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[some.start : some.stop]), pa.array(start), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return listed.mapInArrow(common.trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
