@@ -257,7 +257,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, pa
         own = f"{base}/.part-{part:06d}-{context.taskAttemptId()}"
         last = np.array([end_id], np.uint32)
         for batch in batches:
-            for piece in common.slices(batch, 8 << 20):
+            for piece in common.slices(batch, 4 << 20):
                 if writer is None:
                     out = fs.open_output_stream(own)
                     writer = Writer(out)
@@ -267,6 +267,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, pa
                     if doc_id is None:
                         raise ValueError("a document without doc_id can't be written")
                     writer.add(doc_id, np.concatenate([flat[a:b], last]))
+                del flat, counts, ends
+                common.give_back()
         if writer is None:
             return
         writer.close()
