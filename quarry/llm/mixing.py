@@ -89,12 +89,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(k.astype(np.int64)), pa.array(source.astype(np.int32)), pa.array(ranks)], ["chunk", "slot", "six", "within"])
 
     chunks = -(-slots // CHUNK)
+    # Written, so that the planner knows their size: an estimate from the range would call them small.
     served = spark.range(0, chunks, 1, max(1, min(chunks, 4096))).mapInArrow(common.trimmed(fill), "chunk bigint, slot bigint, six int, within bigint")
+    served = common.materialize(served, "mix-served")
     before = Window.partitionBy("six").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = served.groupBy("chunk", "six").agg(F.count("*").alias("n"))
     counts = common.materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "mix-slots")
     given = {r.six: r.n for r in counts.groupBy("six").agg(F.sum("n").alias("n")).collect()}
-    ranked = served.join(counts.select("chunk", "six", "base"), ["chunk", "six"]).select("slot", "six", (F.col("base") + F.col("within")).alias("block"))
+    ranked = common.materialize(served.join(counts.select("chunk", "six", "base"), ["chunk", "six"]).select("slot", "six", (F.col("base") + F.col("within")).alias("block")), "mix-ranked")
 
     table = spark.createDataFrame(
         [(s, k, int(sizes[k]), float(want[k]), int(given.get(k, 0))) for k, s in enumerate(names)],
