@@ -231,21 +231,24 @@ def near_pairs(ns: np.ndarray, sketch: list[bytes], bands: Bands) -> Iterator[tu
                 yield i, i + 1 + np.flatnonzero(near), distance[near]
 
 
-class Union:
-    def __init__(self, labels):
-        seen: dict = {}
-        self.up = [seen.setdefault(label, k) for k, label in enumerate(labels)]
+def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray, distance: np.ndarray, step: int = 512) -> np.ndarray:
+    """Numbers of the pairs (i, j) that join different components, nearest pairs first.
 
-    def find(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+    Members with one label are joined from the start.  After every ``step`` pairs looked at one by one,
+    those that lie inside one component by now are dropped together.
+    """
+    order = np.argsort(distance, kind="stable")
+    root = labels.copy()
+    kept: list[int] = []
+    while len(order):
+        order = order[root[i[order]] != root[j[order]]]
+        for k in order[:step].tolist():
+            a, b = root[i[k]], root[j[k]]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+                kept.append(k)
+        order = order[step:]
+    return np.array(kept, np.int64)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -382,15 +385,20 @@ def _edges(met: DataFrame, bands: Bands, forest: bool) -> DataFrame:
             us, vs = [], []
             for ids, ns, labels, sketch in zip(*(batch.column(c).to_pylist() for c in ("ids", "ns", "labels", "sketches"))):
                 order = sorted(range(len(ids)), key=lambda k: (ns[k], ids[k]))
-                ids, labels = [ids[k] for k in order], [labels[k] for k in order]
-                found = []
-                for i, js, ds in near_pairs(np.array([ns[k] for k in order]), [sketch[k] for k in order], own):
-                    found += [(d, i, j) for j, d in zip(js.tolist(), ds.tolist()) if labels[i] != labels[j]]
-                union = Union(labels)
-                for _, i, j in sorted(found) if forest else found:
-                    if not forest or union.join(i, j):
-                        us.append(min(ids[i], ids[j]))
-                        vs.append(max(ids[i], ids[j]))
+                ids = np.array([ids[k] for k in order])
+                labels = np.unique([labels[k] for k in order], return_inverse=True)[1]
+                found = list(near_pairs(np.array([ns[k] for k in order]), [sketch[k] for k in order], own))
+                if not found:
+                    continue
+                i = np.concatenate([np.full(len(js), k) for k, js, _ in found])
+                j, distance = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+                if forest:
+                    pick = spanning(labels, i, j, distance)
+                else:
+                    pick = np.flatnonzero(labels[i] != labels[j])
+                us.append(np.minimum(ids[i[pick]], ids[j[pick]]))
+                vs.append(np.maximum(ids[i[pick]], ids[j[pick]]))
+            us, vs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return met.mapInArrow(common.trimmed(run), "u bigint, v bigint").distinct()
