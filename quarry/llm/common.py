@@ -26,7 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     The session's own setting is used where it exists.  Only a local session without one gets a
     temporary folder, removed at exit; a cluster session without one is an error, since executors
-    could not see each other's files.
+    could not see each other's files.  On a mounted file system the folder goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -36,7 +36,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, own, True)
         base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if path.startswith("file:"):
+        atexit.register(shutil.rmtree, "/" + path[5:].lstrip("/"), True)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -135,3 +135,12 @@ each as (
 select docs.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_exact, 0)::bigint n_exact, coalesce(n_near, 0)::bigint n_near, coalesce(removed, '') removed
 from docs left join each using (d)
 """
+
+ORACLE_SQL["op4_warc"] = """
+with pages_ as (select page_id, coalesce(html, '') as html from pages),
+digits as (select page_id, html, sha1(html) as h, max(page_id) over (partition by html) as best from pages_),
+coded as (select page_id, html, best, array_to_string(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, (5 * (i // 4) + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) % 32 + 1, 1)), '') as d from digits)
+select page_id, strlen(html)::bigint as payload_bytes, d as payload_digest, case when page_id = best then 'response' else 'revisit' end as record_type,
+       case when page_id <> best then best end as refers_to from coded
+"""
