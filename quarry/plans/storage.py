@@ -24,8 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back."""
+    """``df`` written once and read back; on a mounted file system the table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if path.startswith("file:"):
+        atexit.register(shutil.rmtree, "/" + path[5:].lstrip("/"), True)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
