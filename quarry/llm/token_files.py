@@ -5,7 +5,8 @@ File format (all integers little-endian):
     frame*          independent zstandard frames; each holds at most FRAME_IDS ids as unsigned 32-bit
                     integers; a document has one frame, a longer one several in a row
     index           skippable frame 0x184D2A50: document count (u64), then for each document its id
-                    (i64), number of ids (u64) and number of frames (u32), as three packed columns
+                    (i64), number of ids (u64), number of frames (u32) and whether it has an id (u8;
+                    if not, the id reads -2**63), as four packed columns
     seek table      skippable frame 0x184D2A5E of the public seekable zstandard format: for each frame
                     compressed size, plain size, checksum (u32 each); footer: number of frames (u32),
                     descriptor byte 0x80 (checksums present), magic 0x8F92EAB1
@@ -20,8 +21,8 @@ Tokenising: the pre-tokeniser begins a new piece at a blank unless white space s
 of it, so the ids of a text are those of its units cut before each blank, and each distinct unit of a
 batch is encoded once.  Texts with such a blank inside white space are encoded whole.
 
-Defined cases: null text counts as empty and gives the end id alone; a null doc_id is an error (the
-format has none); repeated ids are kept, in the order of their texts.
+Defined cases: null text counts as empty and gives the end id alone; documents without an id come
+first; repeated ids are kept, in the order of their texts; no documents give no files.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ from . import common
 FRAME_IDS = 1 << 22
 INDEX, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
+NO_ID = -(1 << 63)
 #: Units whose ids a worker keeps between batches; a bound of memory, results don't depend on it.
 KNOWN = 400_000
 #: Units a call of the tokenizer takes as one text.
@@ -171,7 +173,7 @@ class Writer:
         self.frames, self.docs = io.BytesIO(), []
         self.n_frames = self.n_ids = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         pieces = max(1, -(-len(ids) // FRAME_IDS))
         for k in range(pieces):
             plain = ids[k * FRAME_IDS : (k + 1) * FRAME_IDS].astype("<u4").tobytes()
@@ -184,7 +186,9 @@ class Writer:
 
     def close(self) -> None:
         ids, sizes, pieces = zip(*self.docs) if self.docs else ((), (), ())
-        body = struct.pack("<Q", len(ids)) + np.array(ids, "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + np.array(pieces, "<u4").tobytes()
+        numbers = np.array([NO_ID if k is None else k for k in ids], "<i8")
+        given = np.array([k is not None for k in ids], "u1")
+        body = struct.pack("<Q", len(ids)) + numbers.tobytes() + np.array(sizes, "<u8").tobytes() + np.array(pieces, "<u4").tobytes() + given.tobytes()
         self.out.write(struct.pack("<II", INDEX, len(body)) + body)
         table = self.frames.getvalue() + struct.pack("<IBI", self.n_frames, 0x80, FOOTER)
         self.out.write(struct.pack("<II", SEEK, len(table)) + table)
@@ -215,6 +219,7 @@ class Reader:
         self.doc_ids = np.frombuffer(body, "<i8", n, 8)
         self.n_ids = np.frombuffer(body, "<u8", n, 8 + 8 * n).astype(np.int64)
         pieces = np.frombuffer(body, "<u4", n, 8 + 16 * n).astype(np.int64)
+        self.has_id = np.frombuffer(body, "u1", n, 8 + 20 * n).astype(bool)
         self.first = np.concatenate([[0], np.cumsum(pieces)])
         self.coder = zstandard.ZstdDecompressor()
 
@@ -232,8 +237,8 @@ class Reader:
 
     def find(self, doc_id: int) -> Iterator[np.ndarray]:
         """Ids of every document with this id; only its frames are read."""
-        a, b = np.searchsorted(self.doc_ids, [doc_id, doc_id + 1])
-        yield from (self.document(k) for k in range(a, b))
+        a, b = np.searchsorted(self.doc_ids, doc_id), np.searchsorted(self.doc_ids, doc_id, side="right")
+        yield from (self.document(k) for k in range(a, b) if self.has_id[k])
 
 
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint, bytes bigint, first_id bigint, last_id bigint"
@@ -264,8 +269,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, pa
                 flat, counts = encoder(tokenizer).encode(piece.column("text"))
                 ends = np.cumsum(counts)
                 for doc_id, a, b in zip(piece.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist()):
-                    if doc_id is None:
-                        raise ValueError("a document without doc_id can't be written")
                     writer.add(doc_id, np.concatenate([flat[a:b], last]))
                 del flat, counts, ends
                 common.give_back()
@@ -309,6 +312,6 @@ def read_index(spark, folder: str, buckets: int | None = None) -> DataFrame:
                         sizes = np.array(sizes, np.int64)
                         start = base + np.cumsum(sizes) - sizes
                         base += int(sizes.sum())
-                        yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[some.start : some.stop]), pa.array(start), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[some.start : some.stop], mask=~reader.has_id[some.start : some.stop]), pa.array(start), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.mapInArrow(common.trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

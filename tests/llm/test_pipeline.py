@@ -66,3 +66,15 @@ def test_empty_corpus(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_corpus(spark, odd, folder, tmp_path):
+    """Nulls in any column, blank and long texts, repeated rows and ids, extra columns."""
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == odd.columns and docs.count() > 0
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert out.count() == docs.count() and {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
