@@ -18,8 +18,9 @@ Documents are range-partitioned by id, so file k holds smaller ids than file k +
 temporary file and renames it, so a repeated task leaves the same bytes.
 
 Tokenising: the pre-tokeniser begins a new piece at a blank unless white space stands on both sides
-of it, so the ids of a text are those of its units cut before each blank, and each distinct unit of a
-batch is encoded once.  Texts with such a blank inside white space are encoded whole.
+of it, and takes a line break between two other characters as a piece.  So the ids of a text are those
+of its units, cut before such blanks and around such breaks, and each distinct unit of a batch is
+encoded once.  Texts with a blank inside white space are encoded whole.
 
 Defined cases: null text counts as empty and gives the end id alone; documents without an id come
 first; repeated ids are kept, in the order of their texts; no documents give no files.
@@ -41,20 +42,73 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, kernels
 
 FRAME_IDS = 1 << 22
 INDEX, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 NO_ID = -(1 << 63)
 #: Units whose ids a worker keeps between batches; a bound of memory, results don't depend on it.
-KNOWN = 400_000
+KNOWN, SLOTS = 1_000_000, 22
 #: Units a call of the tokenizer takes as one text.
-JOINED = 1000
-
-_SPACES = r" \t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: A blank between two white-space characters, or at the end after one: there a piece may hold it.
-ODD = f"[{_SPACES}] (?:[{_SPACES}]|$)"
+JOINED = 200
+
+#: Stands for a line break while a text is cut into units.
+BREAK = "\x00"
+#: White-space characters beyond ASCII's 0x09-0x0D, 0x1C-0x1F and 0x20.
+WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ASCII = np.zeros(256, bool)
+_ASCII[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[c.encode()[0] for c in WIDE]] = True
+_WIDE = {c.encode() for c in WIDE}
+
+
+def white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the bytes that begin, and of those that end, a white-space character."""
+    begin = _ASCII[data]
+    end = begin
+    maybe = np.flatnonzero(_LEADS[data])
+    if len(maybe):
+        size = np.where(data[maybe] == 0xC2, 2, 3)
+        maybe, size = maybe[maybe + size <= len(data)], size[maybe + size <= len(data)]
+        found = np.array([data[k : k + n].tobytes() in _WIDE for k, n in zip(maybe.tolist(), size.tolist())], bool)
+        if found.any():
+            end = begin.copy()
+            begin[maybe[found]] = True
+            end[maybe[found] + size[found] - 1] = True
+    return begin, end
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts with `` BREAK `` for each line break between two other characters, and the rows to encode whole.
+
+    Those have a blank with white space on both sides, or at the end after white space: there a piece
+    may hold the blank.
+    """
+    data, offsets = kernels.buffers(column)
+    if not len(data):
+        return _strings(data, offsets), np.zeros(len(column), bool)
+    begin, end = white(data)
+    full = np.flatnonzero(np.diff(offsets))
+    before, after = np.zeros(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = end[:-1], begin[1:]
+    before[offsets[full]] = False
+    after[offsets[full + 1] - 1] = True
+    bad = np.flatnonzero(((data == 0x20) & before & after) | (data == 0))
+    odd = np.zeros(len(column), bool)
+    odd[np.searchsorted(offsets, bad, side="right") - 1] = True
+    breaks = np.flatnonzero((data == 0x0A) & ~before & ~after)
+    if len(breaks):
+        data = data.copy()
+        data[breaks] = 0
+        data = np.insert(data, np.concatenate([breaks, breaks + 1]), 0x20)
+        offsets = offsets + 2 * np.searchsorted(breaks, offsets)
+    return _strings(data, offsets), odd
 
 
 class Encoder:
@@ -69,7 +123,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.stop = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known = pa.array([], pa.large_string())
+        self.known, self.slots = pa.array([], pa.large_string()), np.full(1 << SLOTS, -1, np.int32)
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +133,9 @@ class Encoder:
         return flat, sizes
 
     def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_ids`` for units of a blank and no other white space: whole lists, a line break between two.
+        """As ``_ids`` for units without white space but a blank in front: whole lists, a line break between two.
 
-        A break before a blank is a piece of its own, so its id marks the borders.
+        Such a break is a piece of its own, so its id marks the borders.
         """
         lists = [units[k : k + JOINED] for k in range(0, len(units), JOINED)]
         flat, sizes = self._ids(["\n".join(x) for x in lists])
@@ -91,9 +145,16 @@ class Encoder:
             raise AssertionError("a unit has a line break")
         return np.delete(flat, cut), np.diff(cut, prepend=-1) - 1
 
-    def _units(self, units: pa.Array, codes: np.ndarray, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes into (ids, sizes) that hold the units of this batch; the first KNOWN units stay for later batches."""
-        at = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def _units(self, units: pa.Array, unit_hashes: np.ndarray, codes: np.ndarray, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes into (ids, sizes) that hold the units of this batch; the first KNOWN units stay for later batches.
+
+        A unit is looked for in one slot, by hash, and compared; one that lost its slot is encoded again.
+        """
+        slot = (unit_hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+        at = self.slots[slot].astype(np.int64)
+        maybe = np.flatnonzero(at >= 0)
+        same = pc.equal(self.known.take(pa.array(at[maybe])), units.take(pa.array(maybe))).to_numpy(zero_copy_only=False)
+        at[maybe[~same]] = -1
         new = np.flatnonzero(at < 0)
         plain = simple[new] if len(self.stop) == 1 else np.zeros(len(new), bool)
         new = np.concatenate([new[plain], new[~plain]])
@@ -104,39 +165,46 @@ class Encoder:
         one, two = self._joined(fresh[:border]), self._ids(fresh[border:])
         flat, sizes = np.concatenate([self.flat, one[0], two[0]]), np.concatenate([self.sizes, one[1], two[1]])
         if len(sizes) <= KNOWN:
+            self.slots[slot[new]] = np.arange(len(self.sizes), len(sizes))
             self.known = pa.concat_arrays([self.known, added])
             self.flat, self.sizes = flat, sizes
         return at[codes], flat, sizes
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column in order, and the number of ids of each row."""
-        column = column.cast(pa.large_string()).fill_null("")
-        odd = pc.match_substring_regex(column, ODD)
-        plain = pc.filter(column, pc.invert(odd))
+        texts, mask = cut(column)
+        plain = texts.filter(pa.array(~mask)) if mask.any() else texts
         split = pc.split_pattern(plain, " ")
         words, bounds = split.values, split.offsets.to_numpy()
-        lead = np.ones(len(words), bool)
-        lead[bounds[:-1][np.diff(bounds) > 0]] = False
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = len(coded.dictionary)
-        first = np.flatnonzero(~lead)
+        # A unit has its blank in front, but for the first of a text and those around a line break.
+        stop = pc.index(coded.dictionary, pa.scalar(BREAK, pa.large_string())).as_py()
+        breaks = np.flatnonzero(codes == stop)
+        bare = np.zeros(len(words) + 1, bool)
+        bare[bounds[:-1]] = True
+        bare[breaks] = bare[breaks + 1] = True
+        first = np.flatnonzero(bare[:-1])
         opening, where = np.unique(codes[first], return_inverse=True)
         led = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string()))
-        units = pa.concat_arrays([led, coded.dictionary.take(pa.array(opening))])
+        units = pa.concat_arrays([led, pc.replace_substring(coded.dictionary.take(pa.array(opening)), BREAK, "\n")])
         codes[first] = known + where
-        simple = np.zeros(len(units), bool)
-        simple[:known] = pc.match_substring_regex(coded.dictionary, f"^[^{_SPACES}]+$").to_numpy(zero_copy_only=False)
-        codes, flat, sizes = self._units(units, codes, simple)
+        data, ends = kernels.buffers(units)
+        inner = np.concatenate([[0], np.cumsum(white(data)[0])])
+        blank = np.zeros(len(units), np.int64)
+        blank[:known] = 1
+        simple = (inner[ends[1:]] - inner[ends[:-1]] == blank) & (np.diff(ends) > blank)
+        hashes = kernels.word_hashes(kernels.Words(data, ends, ends[:-1], ends[1:], ends), fold=False)
+        codes, flat, sizes = self._units(units, hashes, codes, simple)
         starts = np.cumsum(sizes) - sizes
         per_unit = sizes[codes]
         out = flat[_ranges(starts[codes], per_unit)]
-        ends = np.concatenate([[0], np.cumsum(per_unit)])
-        counts = ends[bounds[1:]] - ends[bounds[:-1]]
-        mask = odd.to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(per_unit)])
+        counts = total[bounds[1:]] - total[bounds[:-1]]
         if not mask.any():
             return out, counts
-        whole, whole_counts = self._ids(pc.filter(column, odd).to_pylist())
+        whole, whole_counts = self._ids(column.cast(pa.large_string()).fill_null("").filter(pa.array(mask)).to_pylist())
         total = np.empty(len(column), np.int64)
         total[~mask], total[mask] = counts, whole_counts
         source = np.empty(len(column), np.int64)
