@@ -49,6 +49,17 @@ def with_preset(config: Config, preset: str) -> Config:
     return replace(config, direct=direct, indirect=indirect, stdlib=stdlib)
 
 
+def resolve_root(flag: str = "", environ: dict[str, str] | None = None, cwd: str = ".") -> str:
+    """The tree's folder: the flag, else QUARRY_ROOT, else the working folder; it must hold a go.mod."""
+    import os
+
+    chosen = flag or (os.environ if environ is None else environ).get("QUARRY_ROOT") or cwd
+    root = Path(chosen).resolve()
+    if not (root / "go.mod").is_file():
+        raise model.QueryError(f"{root} has no go.mod")
+    return str(root)
+
+
 def load(path: str) -> Config:
     """Configuration of a file; one that doesn't exist is the empty configuration."""
     if not Path(path).exists():

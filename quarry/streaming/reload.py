@@ -7,6 +7,7 @@ events are first narrowed to relevant ones.  A reload that fails leaves the old
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -48,3 +49,18 @@ def reload_stream(events: DataFrame, on_reload: Callable[[DataFrame, int], None]
             on_reload(batch, number)
 
     return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle).start()
+
+
+def republish(load: Callable[[], dict[str, DataFrame]], publish: Callable[[dict[str, DataFrame]], str]) -> Callable[[DataFrame, int], None]:
+    """Handler for ``reload_stream``: load the facts anew and publish them; if that fails the old ones stay.
+
+    Sessions of one batch are one reload.
+    """
+
+    def handle(rows: DataFrame, number: int) -> None:
+        try:
+            logging.getLogger(__name__).info("reload %d: snapshot %s", number, publish(load()))
+        except Exception:
+            logging.getLogger(__name__).exception("reload %d failed; the old snapshot stays", number)
+
+    return handle

@@ -6,6 +6,7 @@ Arguments that a tool refuses raise ``QueryError``.
 
 from __future__ import annotations
 
+import json
 import subprocess
 from dataclasses import dataclass, field
 from typing import Any
@@ -27,6 +28,10 @@ class Result:
     text: str = ""
     extra: dict[str, Any] = field(default_factory=dict)
 
+    def json(self) -> str:
+        """The structured result as one JSON object."""
+        return json.dumps({"rows": self.rows, **self.extra}, default=str, ensure_ascii=False)
+
 
 def required(**values: str) -> None:
     for name, value in values.items():

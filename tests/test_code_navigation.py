@@ -67,6 +67,7 @@ def test_find_symbol(tools, default):
     for bad in (lambda: tools.find_symbol(" "), lambda: tools.find_symbol("x", scope="bogus")):
         with pytest.raises(model.QueryError):
             bad()
+    assert '"qname": "example.com/shop.Label"' in tools.find_symbol("Label").json()
     assert tools.find_symbol("Label").text.splitlines() == ["1 hit(s)", f"main.go:17  [workspace func]  {M}.Label"]
 
 
@@ -235,6 +236,26 @@ def test_snapshots(spark, facts, tmp_path):
     assert "PartitionFilters: [isnotnull(tier_rank" in plan
 
 
+def test_reload_keeps_the_old_snapshot_when_it_fails(spark, facts, tmp_path):
+    from quarry.streaming.reload import republish
+
+    store = Snapshots(spark, f"file://{tmp_path}/snaps")
+    republish(lambda: {"symbols": facts["symbols"].limit(2)}, store.publish)(None, 0)
+    first = store.current()
+
+    def broken():
+        raise RuntimeError("no load")
+
+    republish(broken, store.publish)(None, 1)
+    assert store.current() == first and store.open()["symbols"].count() == 2
+
+
+def test_root(tmp_path):
+    assert C.resolve_root(SHOP) == SHOP == C.resolve_root("", {"QUARRY_ROOT": SHOP}) == C.resolve_root("", {}, SHOP)
+    with pytest.raises(model.QueryError):
+        C.resolve_root(str(tmp_path))
+
+
 def test_config(tmp_path):
     assert C.load(str(tmp_path / "none.yaml")) == C.Config()
     (tmp_path / "c.yaml").write_text("dep_index: {direct: false, stdlib: true}\nentry_points: {cli: [a.main]}\n")
