@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import shutil
 import tempfile
@@ -17,6 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the benchmark contract: runs of ASCII letters, digits and everything beyond ASCII.
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+FRUGAL = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+}
+
 #: Texts are handed to the vectorised kernels in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
 
@@ -43,13 +50,33 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executors.
+
+    The shuffles that made the table go as soon as it is written; nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with frugal(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """For the jobs started inside: Arrow batches of a bounded size, shuffles dropped when a job ends."""
+    held = {key: spark.conf.get(key, None) for key in FRUGAL}
+    for key, value in FRUGAL.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in held.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches cut so that no slice holds much more than SLICE_BYTES of text."""
 

@@ -49,7 +49,7 @@ INDEX, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 NO_ID = -(1 << 63)
 #: Units whose ids a worker keeps between batches; a bound of memory, results don't depend on it.
-KNOWN, SLOTS = 1_000_000, 22
+KNOWN, SLOTS = 700_000, 21
 #: Units a call of the tokenizer takes as one text.
 JOINED = 200
 
@@ -351,7 +351,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, pa
         yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]]), *(pa.array([x], pa.int64()) for x in row[2:])], ["part", "path", "n_docs", "n_ids", "bytes", "first_id", "last_id"])
 
     manifest = rows.mapInArrow(common.trimmed(run), MANIFEST)
-    manifest.write.parquet(f"{folder}/manifest")
+    with common.frugal(spark):
+        manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 

@@ -103,7 +103,8 @@ def pack(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
         out = [header(p, u, n, base64.b32encode(bytes.fromhex(h)).decode(), r if v else None) for p, u, n, h, r, v in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "sha1", "refers_to", "revisit")))]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(out, pa.binary()), batch.column("revisit")], ["page_id", "digest", "header", "revisit"])
 
-    common.map_arrow(linked, heads, "page_id bigint, digest binary, header binary, revisit boolean").write.parquet(f"{folder}/records")
+    with common.frugal(spark):
+        common.map_arrow(linked, heads, "page_id bigint, digest binary, header binary, revisit boolean").write.parquet(f"{folder}/records")
 
     # The payload of each digest once: that of its response, found by (digest, page_id), so no hot key.
     named = winners.select("d", "winner")
