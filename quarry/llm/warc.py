@@ -110,7 +110,7 @@ def pack(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     named = winners.select("d", "winner")
     chosen = own.join(named, (own["digest"] == named["d"]) & own["page_id"].eqNullSafe(named["winner"]))
     with common.frugal(spark):
-        chosen.select("digest", "page_id", "size", "payload").dropDuplicates(["digest", "page_id"]).select("digest", "size", "payload").write.parquet(f"{folder}/payloads")
+        chosen.select("digest", "page_id", "size", "payload").dropDuplicates(["digest", "page_id"]).select("digest", "size", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
