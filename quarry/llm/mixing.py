@@ -3,12 +3,15 @@
 1. Targets: sources in code-point order (null last) weigh 5, 2, 1, 5, ...; together they get as many
    words as the corpus holds; none more than ``epochs`` times its own size, the excess goes to the
    others by weight.
-2. Schedule: slot k of the mixture holds one block of B words.  The golden-ratio point frac(k * phi),
-   in exact 64-bit integers, is mapped through the cumulative targets to a source, and the slots of
-   each source are ranked.  The number of slots is a resolution (2**20 at least), so B follows the
-   size of the corpus and each source is served within a few blocks of its target.
+2. Schedule: each slot of the mixture holds one block of a source.  A source's blocks have B words, or
+   fewer where its target would not be SERVED blocks of B, so a small source is cut as finely at any
+   size of the corpus; it has target / block slots, three at least.  The golden-ratio point
+   frac(k * phi), in exact 64-bit integers, is mapped through the cumulative slot counts to a source,
+   and the slots of each source are ranked.  B follows the size of the corpus (2**20 blocks), and each
+   source is served within a few of its own blocks of its target.  The points leave no gap of three
+   slots, so a source with a target is never missed.
 3. Blocks: each source's documents are shuffled by a seeded hash, laid end to end, repeated up to
-   ``epochs`` times and cut into blocks of B words.  The slot of rank r takes block r: an equi-join on
+   ``epochs`` times and cut into its blocks.  The slot of rank r takes block r: an equi-join on
    (source, rank).
 
 Neither ranks nor offsets sort a whole source in one task: both are sums inside buckets (schedule
@@ -21,6 +24,8 @@ are told apart by a running number.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +35,7 @@ from . import common
 
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 / golden ratio, odd
 CHUNK = 1 << 14
+SERVED = 256
 
 
 def targets(sizes: list[int], weights: list[float], epochs: int) -> list[float]:
@@ -67,14 +73,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int =
     sizes = [found[s].size for s in names]
     want = targets(sizes, [weights[k % len(weights)] for k in range(len(names))], epochs)
     total = sum(sizes)
-    slots = max(slots, 64 * len(names))
-    block = max(1, -(-total // slots))
-    slots = -(-total // block)
+    largest = max(1, -(-total // slots))
+    blocks = [max(1, min(largest, int(t // SERVED))) for t in want]
+    shares = [max(3.0, t / b) if t > 0 else 0.0 for t, b in zip(want, blocks)]
+    whole = sum(shares)
+    slots = math.ceil(whole)
 
     edges, at = [], 0.0
-    for t in want[:-1]:
-        at += t
-        edges.append(min(2**64 - 1, int(at / total * 2**64)) if total else 0)
+    for share in shares[:-1]:
+        at += share
+        edges.append(min(2**64 - 1, int(at / whole * 2**64)) if total else 0)
     edges = np.array(edges, np.uint64)
 
     def fill(batches):
@@ -99,8 +107,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int =
     ranked = common.materialize(served.join(counts.select("chunk", "six", "base"), ["chunk", "six"]).select("slot", "six", (F.col("base") + F.col("within")).alias("block")), "mix-ranked")
 
     table = spark.createDataFrame(
-        [(s, k, int(sizes[k]), float(want[k]), int(given.get(k, 0))) for k, s in enumerate(names)],
-        "__name string, six int, source_size bigint, target double, __slots bigint",
+        [(s, k, int(sizes[k]), float(want[k]), int(blocks[k]), int(given.get(k, 0))) for k, s in enumerate(names)],
+        "__name string, six int, source_size bigint, target double, __words bigint, __slots bigint",
     )
     entries = rows.join(table, rows.source.eqNullSafe(table["__name"])).drop("__name")
 
@@ -114,14 +122,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int =
     placed = placed.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(sums, ["six", "__bucket"]).withColumn("__offset", F.col("__base") + F.col("__inside"))
     placed = common.materialize(placed.drop("__base", "__inside", "__bucket", "__order"), "mix-placed")
 
-    lap = F.explode_outer(F.expr(f"filter(sequence(0, {epochs - 1}), e -> __size > 0 and e * source_size + __offset < __slots * {block}L)"))
+    lap = F.explode_outer(F.expr(f"filter(sequence(0, {epochs - 1}), e -> __size > 0 and e * source_size + __offset < __slots * __words)"))
     laps = placed.withColumn("epoch", lap).withColumn("__at", F.col("epoch") * F.col("source_size") + F.col("__offset"))
-    cut = F.explode_outer(F.expr(f"sequence(__at div {block}L, least((__at + __size - 1) div {block}L, __slots - 1))"))
+    cut = F.explode_outer(F.expr("sequence(__at div __words, least((__at + __size - 1) div __words, __slots - 1))"))
     pieces = laps.withColumn("block", cut)
     spans = pieces.join(ranked, ["six", "block"], "left").withColumns(
         {
-            "start": F.when(F.col("slot").isNotNull(), F.greatest(F.col("block") * block - F.col("__at"), F.lit(0))),
-            "end": F.when(F.col("slot").isNotNull(), F.least((F.col("block") + 1) * block - F.col("__at"), F.col("__size"))),
+            "start": F.when(F.col("slot").isNotNull(), F.greatest(F.col("block") * F.col("__words") - F.col("__at"), F.lit(0))),
+            "end": F.when(F.col("slot").isNotNull(), F.least((F.col("block") + 1) * F.col("__words") - F.col("__at"), F.col("__size"))),
         }
     )
     return placed, spans

@@ -67,6 +67,20 @@ def test_each_slot_is_filled_once(spark, odd):
     assert used.where("n > 1").count() == 0
 
 
+def test_small_sources_are_served_where_blocks_are_large(spark):
+    """64 slots: a block of the large sources is longer than the small sources, as it is in a large corpus."""
+    sizes = {"a": 30000, "b": 300, "c": 1000, "d": 9, "e": 1, "f": 20000}
+    rows = [(k, "w " * min(30, n - at), s) for s, n in sizes.items() for k, at in enumerate(range(0, n, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    served = {r.source: r for r in M.taken(docs, slots=64).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    block = -(-sum(sizes.values()) // 64)
+    for s in sizes:
+        target = served[s].target
+        assert target > 0 and abs(served[s].taken - target) <= (4 * block if s in "af" else max(6, 0.03 * target))
+    begun = {(r.source, r.doc_id) for r in M.mix(docs, slots=64).collect()}
+    assert all((s, k) in begun for k, _, s in rows if s in "bcde")
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
