@@ -106,7 +106,8 @@ def word_hashes(w: Words, fold: bool = True) -> np.ndarray:
     sums = np.empty(len(w.data) + 1, _U)
     sums[0] = 0
     np.cumsum((_folded if fold else _values)[w.data] * up, out=sums[1:])
-    return mix((sums[w.end] - sums[w.start]) * down[w.start] + (w.end - w.start).astype(_U))
+    first = np.minimum(w.start, len(w.data) - 1)  # an empty word may stand at the end
+    return mix((sums[w.end] - sums[w.start]) * down[first] + (w.end - w.start).astype(_U))
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -20,7 +20,9 @@ temporary file and renames it, so a repeated task leaves the same bytes.
 Tokenising: the pre-tokeniser begins a new piece at a blank unless white space stands on both sides
 of it, and takes a line break between two other characters as a piece.  So the ids of a text are those
 of its units, cut before such blanks and around such breaks, and each distinct unit of a batch is
-encoded once.  Texts with a blank inside white space are encoded whole.
+encoded once.  Texts with a blank inside white space are encoded whole, and so are texts with an added
+token of the tokenizer file (as ``<|endoftext|>``), which gets its own id as a plainly loaded tokenizer
+gives it.
 
 Defined cases: null text counts as empty and gives the end id alone; documents without an id come
 first; repeated ids are kept, in the order of their texts; no documents give no files.
@@ -112,9 +114,12 @@ def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Batch encoder of a byte-level BPE file of the tokenizers library."""
+    """Batch encoder of a byte-level BPE file of the tokenizers library.
 
-    def __init__(self, path: str):
+    With ``added``, the file's added tokens get their own ids where a text has them; else they are spelled out.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -122,6 +127,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.stop = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known, self.slots = pa.array([], pa.large_string()), np.full(1 << SLOTS, -1, np.int32)
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -132,6 +138,14 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         return flat, sizes
 
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids``, with the ids of added tokens."""
+        self.tokenizer.encode_special_tokens = not self.added
+        try:
+            return self._ids(texts)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_ids`` for units without white space but a blank in front: whole lists, a line break between two.
 
@@ -173,6 +187,8 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column in order, and the number of ids of each row."""
         texts, mask = cut(column)
+        for token in self.added:
+            mask |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~mask)) if mask.any() else texts
         split = pc.split_pattern(plain, " ")
         words, bounds = split.values, split.offsets.to_numpy()
@@ -204,7 +220,7 @@ class Encoder:
         counts = total[bounds[1:]] - total[bounds[:-1]]
         if not mask.any():
             return out, counts
-        whole, whole_counts = self._ids(column.cast(pa.large_string()).fill_null("").filter(pa.array(mask)).to_pylist())
+        whole, whole_counts = self._whole(column.cast(pa.large_string()).fill_null("").filter(pa.array(mask)).to_pylist())
         total = np.empty(len(column), np.int64)
         total[~mask], total[mask] = counts, whole_counts
         source = np.empty(len(column), np.int64)
@@ -229,7 +245,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 

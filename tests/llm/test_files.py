@@ -40,6 +40,20 @@ def test_units_give_the_ids_of_whole_texts(plain):
         assert at == len(flat)
 
 
+def test_added_tokens_get_the_ids_of_a_plainly_loaded_tokenizer(spark):
+    t = tokenizers.Tokenizer.from_file(PATH)
+    assert t.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    texts = ["hello <|endoftext|> world", "no such token", "<|endoftext|>", "a <|endoftext|><|endoftext|>\nb  c", "<|endoftext", None, "", "end <|endoftext|>"]
+    folder = common.scratch(spark, "t")
+    T.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, PATH)
+    want, start = [], 0
+    for k, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in T.read_index(spark, folder).orderBy("start").collect()] == want
+
+
 def test_reader_takes_only_what_is_asked_and_finds_damage(monkeypatch):
     monkeypatch.setattr(T, "FRAME_IDS", 10)
     out = io.BytesIO()
