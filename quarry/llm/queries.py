@@ -31,9 +31,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = common.scratch(spark, "warc")
+    """Pages packed, their records rebuilt into WARC files, and those files parsed."""
+    folder, target = common.scratch(spark, "warc"), common.scratch(spark, "warc-out")
     warc.pack(_table(spark, sf_dir, "pages"), folder)
-    return warc.read_back(spark, folder)
+    files = warc.write_warc(spark, folder, target, int(spark.conf.get("spark.sql.shuffle.partitions")), packed=True)
+    return warc.read_files(spark, target, files)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

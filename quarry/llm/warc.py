@@ -3,7 +3,8 @@
 ``pack`` keeps two tables: *payloads*, each distinct payload once under its SHA-256 (with length and
 SHA-1, which must agree within a digest), and *records*, the exact header bytes of every record with
 the digest of its payload.  ``records_of`` reconstructs the original records by a join;
-``write_warc`` and ``read_warc`` put them into WARC files and parse such files.
+``write_warc`` and ``read_warc`` put them into WARC files and parse such files, one record in memory at
+a time; ``read_files`` does so for all files and says what each page's record holds.
 
 Of records with equal payloads of at least ``min_bytes`` the one with the largest page_id is the
 response; the others are revisits that refer to it.
@@ -15,13 +16,16 @@ split by a salt on the page side, with the response copied to each salt.
 
 Defined cases: null html is an empty payload (equal empty payloads are linked like others when
 min_bytes is 0); null url is written as an empty target; repeated page_ids are kept as records of
-their own (equal ids with equal payloads: one of the rows is the response); a null page_id never wins.
+their own (equal ids with equal payloads: one of the rows is the response); a null page_id never wins,
+and records that no page_id could be referred to by are all responses.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -97,7 +101,7 @@ def pack(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     salted = winners.where("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = brief.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
     linked = dealt.join(salted, (dealt["shared"] == salted["d"]) & (dealt["salt"] == salted["salt"]), "left")
-    linked = linked.select("page_id", "url", "sha1", "size", "digest", F.when(F.col("uid") != F.col("winner_uid"), F.col("winner")).alias("refers_to"), F.coalesce(F.col("uid") != F.col("winner_uid"), F.lit(False)).alias("revisit"))
+    linked = linked.select("page_id", "url", "sha1", "size", "digest", F.when(F.col("uid") != F.col("winner_uid"), F.col("winner")).alias("refers_to"), F.coalesce((F.col("uid") != F.col("winner_uid")) & F.col("winner").isNotNull(), F.lit(False)).alias("revisit"))
 
     def heads(batch):
         out = [header(p, u, n, base64.b32encode(bytes.fromhex(h)).decode(), r if v else None) for p, u, n, h, r, v in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "sha1", "refers_to", "revisit")))]
@@ -149,8 +153,11 @@ def records_of(spark: SparkSession, folder: str) -> DataFrame:
     return full.unionByName(records.where("revisit").select("page_id", "digest", F.concat("header", end).alias("record")))
 
 
-def write_warc(spark: SparkSession, folder: str, target: str, partitions: int) -> DataFrame:
-    """Reconstructed records in WARC files under ``target``; returns path and number of records of each file."""
+def write_warc(spark: SparkSession, folder: str, target: str, partitions: int, packed: bool = False) -> DataFrame:
+    """Reconstructed records in WARC files under ``target``; returns path and number of records of each file.
+
+    ``packed``: a gzip member a record, as .warc.gz files have it.
+    """
     target = common.run_location(spark, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +169,9 @@ def write_warc(spark: SparkSession, folder: str, target: str, partitions: int) -
         with fs.open_output_stream(own) as out:
             for batch in batches:
                 for record in batch.column("record").to_pylist():
-                    out.write(record)
+                    out.write(gzip.compress(record, 1, mtime=0) if packed else record)
                     count += 1
-        path = f"part-{context.partitionId():06d}.warc"
+        path = f"part-{context.partitionId():06d}.warc{'.gz' if packed else ''}"
         fs.move(own, f"{base}/{path}")
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "records"])
 
@@ -172,18 +179,81 @@ def write_warc(spark: SparkSession, folder: str, target: str, partitions: int) -
     return common.materialize(rows.select("record").mapInArrow(common.trimmed(run), "path string, records bigint"), "warc-files")
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(fields, HTTP header, payload) of each record of a WARC file's bytes."""
-    at = 0
-    while at < len(data):
-        end = data.index(CRLF * 2, at) + 4
-        fields = parse(data[at:end])
-        size = int(fields["Content-Length"])
-        http, _, payload = data[end : end + size].partition(CRLF * 2)
-        at = end + size + 4
+def read_warc(source) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """(fields, HTTP header, payload) of each record of a WARC file, given as bytes or as a binary file object."""
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
+    while line := source.readline():
+        head = [line]
+        while head[-1] != CRLF:
+            if not (line := source.readline()):
+                raise ValueError("a record's header is cut off")
+            head.append(line)
+        fields = parse(b"".join(head))
+        block = source.read(int(fields["Content-Length"]))
+        if len(block) != int(fields["Content-Length"]) or source.read(4) != CRLF * 2:
+            raise ValueError(f"record {fields['WARC-Record-ID']} is cut off or its length is wrong")
+        http, _, payload = block.partition(CRLF * 2)
         yield fields, http, payload
 
 
+def read_files(spark: SparkSession, target: str, files: DataFrame) -> DataFrame:
+    """Per page what its record in the WARC files says; columns as of ``read_back``.
+
+    Sizes and digests of responses are those of the payload bytes in the file, and those of revisits
+    must be the ones of the response they refer to; anything else is an error.  Revisits of one
+    response may be any share of all rows, so they are dealt by a salt.
+    """
+    target = common.run_location(spark, target, make=False)
+    listed = files.select("path", "records").collect()  # one row a file
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    if not listed:
+        return spark.createDataFrame([], schema)
+
+    def row(fields: dict[str, str], payload: bytes) -> tuple:
+        size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        refers = fields.get("X-Refers-To-Page")
+        if fields["WARC-Type"] == "response":
+            if len(payload) != size or sha1_base32(payload) != digest:
+                raise ValueError(f"record {fields['WARC-Record-ID']} doesn't fit its payload")
+        elif payload or fields["WARC-Refers-To"] != record_id(refers):
+            raise ValueError(f"record {fields['WARC-Record-ID']} is no revisit")
+        return int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, size, digest, fields["WARC-Type"], int(refers) if refers else None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = common.shared_fs(target)
+        for batch in batches:
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
+                rows, count = [], 0
+                with fs.open_input_stream(f"{root}/{path}", compression=None) as raw:
+                    plain = io.BufferedReader(raw, 1 << 20)
+                    for fields, _, payload in read_warc(gzip.GzipFile(fileobj=plain) if path.endswith(".gz") else plain):
+                        rows.append(row(fields, payload))
+                        count += 1
+                        if len(rows) == 4096:
+                            yield batch_of(rows)
+                            rows = []
+                if count != records:
+                    raise ValueError(f"{path} has {count} records, not {records}")
+                if rows:
+                    yield batch_of(rows)
+
+    spread = spark.createDataFrame([(r.path, r.records) for r in listed], "path string, records bigint").repartition(len(listed))
+    said = common.materialize(spread.mapInArrow(common.trimmed(run), schema), "warc-said")
+    again = said.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    there = said.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("found"))
+    keys = ["refers_to", "payload_digest"]
+    there = there.join(again.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys)
+    there = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = again.join(there, [*keys, "salt"], "left")
+    sized = F.when(F.col("found") == F.col("payload_bytes"), F.col("found")).otherwise(F.raise_error(F.lit("a revisit without its response")).cast("long"))
+    return said.where("record_type = 'response'").unionByName(held.withColumn("payload_bytes", sized).select(*names))
+
+
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Per page what the archive says: page_id, payload_bytes, payload_digest, record_type, refers_to.
 

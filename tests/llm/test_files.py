@@ -149,6 +149,44 @@ def test_records_can_be_rebuilt_and_parsed(spark):
     assert sorted(x for x, _ in seen) == sorted("" if k is None else str(k) for k, _, _ in PAGES)
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_files_say_what_the_pages_are(spark, packed):
+    folder, target = common.scratch(spark, "w"), common.scratch(spark, "f")
+    rows = [*PAGES, (None, "u", "nobody")]  # two records that nothing can refer to
+    W.pack(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder)
+    files = W.write_warc(spark, folder, target, 3, packed=packed)
+    got = sorted(map(tuple, W.read_files(spark, target, files).collect()), key=repr)
+    best = {}
+    for k, _, html in rows:
+        if k is not None:
+            best[html or ""] = max(best.get(html or "", 0), k)
+    want, seen = [], set()
+    for k, _, html in rows:
+        data, first = (html or "").encode(), best.get(html or "")
+        response = first is None or (k == first and k not in seen)
+        seen.add(k)
+        want.append((k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else first))
+    assert got == sorted(want, key=repr)
+
+
+def test_registered_query_writes_and_parses_warc_files(spark, tmp_path, monkeypatch):
+    from quarry.llm.queries import QUERIES
+
+    pages(spark).write.parquet(f"{tmp_path}/pages.parquet")
+    written, write = [], W.write_warc
+    monkeypatch.setattr(W, "write_warc", lambda *a, **b: written.append(write(*a, **b)) or written[-1])
+    assert QUERIES["op4_warc"](spark, str(tmp_path)).count() == len(PAGES)
+    assert written[0].agg({"records": "sum"}).first()[0] == len(PAGES)
+
+
+def test_cut_files_are_noticed():
+    record = W.header(1, "u", 3, W.sha1_base32(b"abc")) + b"abc" + W.CRLF * 2
+    assert [p for _, _, p in W.read_warc(record * 2)] == [b"abc"] * 2
+    for n in (1, 4, 6, len(record) - 20):
+        with pytest.raises(ValueError):
+            list(W.read_warc(record + record[:-n]))
+
+
 def test_damaged_payload_is_noticed(spark):
     folder, other = common.scratch(spark, "w"), common.scratch(spark, "w")
     W.pack(pages(spark), folder)
