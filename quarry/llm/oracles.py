@@ -26,28 +26,31 @@ measures as (
   from listed l left join repeats r using (rid)),
 failed as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-         10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words as shape_failed
+         10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words as shape_failed
   from measures),
 by_host as (select source, count(*) n, count(*) filter (where base_failed or shape_failed) f from failed group by source),
-moments as (select avg(f / n) m, var_pop(f / n) v from by_host),
-prior as (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1e6 end s from moments),
-verdicts as (select source, (f + m * s) / (n + s) > 0.5 as flagged from by_host, prior)
+moments as (select sum(f) / sum(n) m, sum(f * f / n) q, sum(n) total, count(*) hosts from by_host),
+spread as (select m, m * (1 - m) most, (q - m * (1 - m) * hosts) / total - m * m v from moments),
+prior as (select m, case when v > 1e-9 and v < most then most / v - 1 else 1e6 end s from spread),
+verdicts as (select source, case when m > 0 then greatest(least(round(100 * ((f + m * s) / (n + s)) / m), 200), 50)::bigint else 100 end as strict from by_host, prior)
 """
 
 ORACLE_SQL["op6_quality_rules"] = f"""
 with {MEASURES}
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not (coalesce(v.flagged, false) and shape_failed) as kept
-from failed f left join verdicts v on f.source is not distinct from v.source
+       not base_failed and not (10 * n_symbols * strict > 100 * n_words or 2 * n_dup_lines * strict > 100 * n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from failed f join verdicts v on f.source is not distinct from v.source
 """
 
 _ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)"""
+_USER = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][eE][sS][sS]_?[kK][eE][yY](?:_?[iI][dD])?)["\x27]?\x20*[:=]\x20*["\x27]?[A-Za-z0-9+/_.@-]{3,}"""
+_IDENTIFIED = f"(regexp_matches(t, 'AKIA[A-Z0-9]{{16,}}') or regexp_matches(t, '{_USER}'))"
 _ENDPOINT = r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"\x27<>]+"""
 
 
 def _kind(number: int, pattern: str, value: int, ok: str, extra: str = "true") -> str:
     return f"""
-    select rid, {number} k, {('assign', 'access', 'hex', 'secret', 'endpoint')[number].__repr__()} kind, i, gap, x, {ok} ok from (
+    select rid, {number} k, {('assign', 'access', 'hex', 'secret', 'endpoint', 'user')[number].__repr__()} kind, i, gap, x, {ok} ok from (
       select rid, unnest(range(1, len(m) + 1)) i, unnest(m) x, unnest(v) val, unnest(g[1:len(m)]) gap from (
         select rid, regexp_extract_all(t, '{pattern}', 0) m, regexp_extract_all(t, '{pattern}', {value}) v, string_split_regex(t, '{pattern}') g
         from docs where regexp_matches(t, '{pattern}') and {extra}))"""
@@ -59,14 +62,14 @@ matches as ({' union all '.join((
     _kind(0, _ASSIGN, 2, "length(val) >= 6"),
     _kind(1, 'AKIA[A-Z0-9]{16,}', 0, 'true'),
     _kind(2, '[0-9a-f]{24,}', 0, 'true'),
-    _kind(3, '[A-Za-z0-9/+=]{40,}', 0, "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]')", "regexp_matches(t, 'AKIA[A-Z0-9]{16,}')"),
-    _kind(4, _ENDPOINT, 0, 'true', "regexp_matches(t, 'AKIA[A-Z0-9]{16,}')"),
+    _kind(3, '[A-Za-z0-9/+=]{40,}', 0, "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]')", _IDENTIFIED),
+    _kind(4, _ENDPOINT, 0, 'true', _IDENTIFIED),
+    _kind(5, _USER, 0, 'true'),
 ))}),
 placed as (select rid, k, kind, ok, sum(length(gap) + length(x)) over (partition by rid, k order by i)::bigint e, length(x) n from matches),
 spans as (select rid, k, kind, e - n s, e from placed where ok),
-scoped as (select *, unnest([s // 200, s // 200 + 1]) scope from spans),
-near as (select rid, scope, bool_or(k = 1) a, bool_or(k in (0, 3)) p from scoped group by rid, scope),
-shown as (select distinct rid, k, kind, s, e from scoped join near using (rid, scope) where k < 3 or (k = 3 and a) or (k = 4 and a and p)),
+near as (select *, bool_or(k in (1, 5)) over w a, bool_or(k in (0, 3)) over w p from spans window w as (partition by rid order by s range between 400 preceding and 400 following)),
+shown as (select rid, k, kind, s, e from near where k < 3 or (k = 3 and a) or (k = 4 and a and p) or (k = 5 and p)),
 joined as (
   select rid, count(*) filter (where k = 0) n0, count(*) filter (where k = 1) n1, count(*) filter (where k = 2) n2,
          string_agg(kind || ':' || s || ':' || e, ',' order by s, k, e) filter (where k < 3) base,

@@ -5,15 +5,18 @@ kind (``split`` with all gaps kept) and the matches are extracted beside it; gap
 summed in order, give code-point positions.  Only texts with a match take that path.
 
 Base kinds are reported always.  Weak kinds are common shapes that mean little alone: long mixed
-base64 runs (``secret``) and URLs (``endpoint``).  They are looked for in texts with an access
-identifier.  Every span is dealt to the two overlapping scopes of SCOPE code points that hold its
-start, so spans whose starts are at most SCOPE / 2 apart share one: an interval join without pairs.
-A weak secret is reported if a scope of it has an access identifier; an endpoint if a scope of it has
-an access identifier and a secret (weak or assigned).
+base64 runs (``secret``), URLs (``endpoint``) and named accounts (``user``).  The parts of a
+credential are access identifiers (``access``, ``user``), secrets (``assign``, ``secret``) and
+endpoints.  The scope of a span is all that starts at most ``scope`` code points before or after its
+own start, wherever it stands in the text.  An account is reported if a secret lies in its scope, a
+weak secret if an access identifier does, an endpoint if both do.  The interval join is a range
+window over the starts of one text's spans, so no pairs are made.
 
-All spans of one text are brought together by one shuffle of short rows (no text).  Defined cases:
-null text counts as empty; texts without spans give empty strings and zero counts; repeated rows are
-kept apart; extra columns are not read.
+All spans of one text are brought together by one shuffle of short rows (no text); a text that holds
+most of all spans is one row of the input, too.  Defined cases: null text counts as empty; texts
+without spans give empty strings and zero counts; a text of any length is searched whole; spans of
+different kinds that start together are all reported, in the order of their kinds; repeated rows are
+kept apart; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 SECRET = r"[A-Za-z0-9/+=]{40,}"
 ENDPOINT = r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+"""
-KINDS = ("assign", "access", "hex", "secret", "endpoint")
-PATTERNS = (ASSIGN, ACCESS, HEX, SECRET, ENDPOINT)
-BASE = 3
+USER = r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
+KINDS = ("assign", "access", "hex", "secret", "endpoint", "user")
+PATTERNS = (ASSIGN, ACCESS, HEX, SECRET, ENDPOINT, USER)
+BASE, IDENTIFIERS, SECRETS = 3, (1, 5), (0, 3)
 
 
 def _quoted(pattern: str) -> str:
@@ -41,7 +45,7 @@ def _quoted(pattern: str) -> str:
 def _spans_of(kind: int) -> str:
     """SQL for the matches of a kind: array of (kind, number, gap before, length, counts or not)."""
     p = _quoted(PATTERNS[kind])
-    wanted = f"t rlike {p}" if kind < BASE else f"t rlike {_quoted(ACCESS)} and t rlike {p}"
+    wanted = f"t rlike {p}" if kind < BASE or kind in IDENTIFIERS else f"(t rlike {_quoted(ACCESS)} or t rlike {_quoted(USER)}) and t rlike {p}"
     shape = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>"
     ok = {0: "length(m.`2`) >= 6", 3: "m.`0` rlike '[0-9]' and m.`0` rlike '[A-Z]' and m.`0` rlike '[a-z]'"}.get(kind, "true")
     found, value = f"regexp_extract_all(t, {p}, 0)", f"regexp_extract_all(t, {p}, {2 if kind == 0 else 0})"
@@ -50,7 +54,7 @@ def _spans_of(kind: int) -> str:
     return f"case when {wanted} then transform({zipped}, (m, i) -> {made}) else cast(array() as {shape}) end"
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row a span that is reported, or one with a null kind for a text without spans: uid, doc_id, kind, start, end."""
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     found = texts.select("uid", "doc_id", F.explode_outer(F.concat(*(F.expr(_spans_of(k)) for k in range(len(KINDS))))).alias("m"))
@@ -58,18 +62,17 @@ def spans(docs: DataFrame) -> DataFrame:
     through = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(through)).withColumn("start", F.col("end") - F.col("len"))
     rows = rows.withColumn("kind", F.when(F.col("ok"), F.col("kind")))  # a match that fails leaves its text a row
-    scope = Window.partitionBy("uid", "scope")
-    linked = rows.withColumn("scope", F.explode(F.expr(f"case when kind is null then array(0L) else array(start div {SCOPE // 2}, start div {SCOPE // 2} + 1) end")))
-    linked = linked.withColumn("near_access", F.max(F.col("kind") == 1).over(scope)).withColumn("near_secret", F.max(F.col("kind").isin(0, 3)).over(scope))
-    reported = F.expr(f"kind < {BASE} or (kind = 3 and near_access) or (kind = 4 and near_access and near_secret)")
+    around = Window.partitionBy("uid").orderBy("start").rangeBetween(-scope, scope)
+    linked = rows.withColumn("identified", F.max(F.col("kind").isin(*IDENTIFIERS)).over(around)).withColumn("secret", F.max(F.col("kind").isin(*SECRETS)).over(around))
+    reported = F.expr(f"kind < {BASE} or (kind = 3 and identified) or (kind = 4 and identified and secret) or (kind = 5 and secret)")
     return linked.select("uid", "doc_id", F.when(reported, F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"))).alias("span"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per document: counts of the base kinds, digest of the base spans, all spans."""
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     written = f"x -> concat_ws(':', get({names}, x.kind), x.start, x.end)"
-    each = spans(docs).groupBy("uid", "doc_id").agg(F.sort_array(F.collect_set("span")).alias("all"))
+    each = spans(docs, scope).groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list("span")).alias("all"))
     each = each.withColumn("base", F.expr(f"filter(all, x -> x.kind < {BASE})"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return each.select(

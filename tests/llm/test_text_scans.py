@@ -50,6 +50,50 @@ def test_secret_spans(spark, odd, empty):
     assert S.scan(odd).count() == odd.count() and S.scan(empty).count() == 0
 
 
+def linked_spans(text, scope):
+    """All spans by comparing every span with every other one."""
+    found = [(a, k, b) for a, k, b in base_spans(text)]
+    found += [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9/+=]{40,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    found += [(m.start(), 4, m.end()) for m in re.finditer(r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+""", text)]
+    found += [(m.start(), 5, m.end()) for m in re.finditer(r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""", text, re.ASCII)]
+    out = []
+    for a, k, b in found:
+        near = {j for c, j, _ in found if abs(a - c) <= scope}
+        named, secret = bool(near & {1, 5}), bool(near & {0, 3})
+        if k < 3 or (k == 3 and named) or (k == 4 and named and secret) or (k == 5 and secret):
+            out.append((a, k, b))
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_links_depend_on_distance_alone(spark):
+    """The same parts at every distance around the scope, behind a lead of any length."""
+    access, url, user = "AKIA" + "D" * 16, "https://h.example/p", "Login: someone"
+    rows = []
+    for lead in (0, 1, 57, 199, 200, 201, 399):
+        for gap in (0, 150, 201, 300, 357, 358, 378, 379, 380, 385, 386, 399, 400, 401, 600):
+            for parts in ((access, SECRET), (SECRET, user), (user, "token=abcdefg"), (access, url, SECRET), (url, user, SECRET), (url, user), (access, url)):
+                rows.append((len(rows), "é" * lead + " " + (" " + "." * gap + " ").join(parts)))
+    for scope in (S.SCOPE, 150):
+        got = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), scope).collect()}
+        for k, text in rows:
+            assert got[k] == linked_spans(text, scope), text
+
+
+def test_links_agree_with_sql(spark, tmp_path):
+    """The registered SQL on texts that do hold multipart credentials."""
+    from quarry.llm.oracles import ORACLE_SQL
+
+    import duckdb
+
+    texts = [*TEXTS, *(f"USER=ann {'x ' * n} password: abcdefgh {'y ' * n} ftp://h/ {SECRET}" for n in range(90, 320, 13))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents/*.parquet')")
+    want = {r[0]: r[1:] for r in con.sql("select doc_id, n_assign, n_access, n_hex, base_sha256, spans from (" + ORACLE_SQL["op5_secret_scan"] + ")").fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in S.scan(spark.read.parquet(f"{tmp_path}/documents")).collect()}
+    assert got == want and any("user:" in r[4] for r in got.values())
+
+
 def measures(text):
     text = text or ""
     words = WORD.findall(text)
@@ -76,15 +120,59 @@ def test_quality_measures(spark, odd, empty):
     assert Q.report(empty).count() == 0 and Q.filter_documents(empty).count() == 0
 
 
-def test_host_verdict_reaches_its_documents_only(spark, monkeypatch):
-    good = " ".join(f"w{k}" for k in range(40))
-    odd_one = good + "".join(f" #{k}" for k in range(20))
-    rows = [(k, odd_one if k % 10 else good, "bad") for k in range(100)] + [(100 + k, good if k % 10 else odd_one, f"fine{k % 7}") for k in range(100)]
+def judged(rows):
+    """Kept ids by plain arithmetic: the prior by moments, shrunk rates, and limits scaled by host."""
+    found = {}
+    for k, text, host in rows:
+        n, chars, symbols, dups, again = measures(text)
+        lines = sum(1 for x in (text or "").split("\n") if WORD.search(x))
+        found[k] = (host, n < 20 or 100 * again > 30 * n, chars < 2 * n or chars > 20 * n, symbols, n, dups, lines)
+
+    def fails(k, strict):
+        _, base, length, symbols, n, dups, lines = found[k]
+        return base or length or 10 * symbols * strict > 100 * n or 2 * dups * strict > 100 * lines
+
+    docs, bad = Counter(found[k][0] for k in found), Counter(found[k][0] for k in found if fails(k, 100))
+    m = sum(bad.values()) / len(found)
+    spread = sum(n * (bad[h] / n - m) ** 2 - m * (1 - m) for h, n in docs.items()) / len(found)
+    weight = m * (1 - m) / spread - 1 if 1e-9 < spread < m * (1 - m) else 1e6
+    strict = {h: max(50, min(200, round(100 * (bad[h] + m * weight) / (n + weight) / m))) if m else 100 for h, n in docs.items()}
+    return {k for k in found if not fails(k, strict[found[k][0]])}, strict
+
+
+def test_host_verdict_decides_its_documents(spark, monkeypatch):
+    """Texts near a limit are kept or not by how often their host fails."""
+    clean = " ".join(f"w{k}" for k in range(100))
+    many, some, few = (clean + " #" * n for n in (40, 13, 7))
+    rows = [(k, (many, many, many, some, few, clean)[k % 6], "bad") for k in range(120)]
+    rows += [(200 + k, (some if k == 7 else few if k % 9 == 0 else clean), f"fine{k % 3}") for k in range(300)]
+    rows += [(900 + k, clean, None) for k in range(50)] + [(960, many, None), (961, None, "lone"), (962, "", "lone")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, strict = judged(rows)
+    assert strict["bad"] == 200 and strict["fine0"] == 50
+    assert not {4, 10} & want and 200 in want and 207 in want  # few symbols in the bad host, more in a clean one
     for limit in (100_000, 0):  # broadcast, salted
         monkeypatch.setattr(Q, "BROADCAST_HOSTS", limit)
-        kept = {r.doc_id for r in Q.report(df).where("kept").collect()}
-        assert kept == {k for k, t, s in rows if s != "bad" or t == good}
+        got = Q.report(df).collect()
+        assert {r.doc_id for r in got if r.kept} == want
+        assert {r.host_strict for r in got if r.doc_id < 120} == {200}
+
+
+def test_quality_rules_leave_any_column_alone(spark):
+    names = ["row", "host", "t", "w", "n", "chars", "symbols", "lines", "win", "again", "sorted", "at", "named", "salt", "own", "strict", "shrunk", "fails", "kept", "base_failed", "n_words", "__t"]
+    rows = [(1, " ".join(f"w{k}" for k in range(30)), "s", *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    assert [tuple(r) for r in Q.filter_documents(df).collect()] == rows
+
+
+def test_hosts_may_be_domains(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["http://A.example/x", "https://u:p@a.example:80/y", "ftp://b.example", "no url", None]
+    got = [r.d for r in spark.createDataFrame(list(enumerate(urls)), "k int, u string").orderBy("k").select(Q.domain(F.col("u")).alias("d")).collect()]
+    assert got == ["a.example", "a.example", "b.example", None, None]
+    df = spark.createDataFrame([(k, "one " * 3, u) for k, u in enumerate(urls)], "doc_id long, text string, url string")
+    assert Q.report(df, Q.domain(F.col("url"))).count() == 5
 
 
 def contaminated(text, items, n=10):
