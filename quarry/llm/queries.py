@@ -34,7 +34,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages packed, their records rebuilt into WARC files, and those files parsed."""
     folder, target = common.scratch(spark, "warc"), common.scratch(spark, "warc-out")
     warc.pack(_table(spark, sf_dir, "pages"), folder)
-    files = warc.write_warc(spark, folder, target, int(spark.conf.get("spark.sql.shuffle.partitions")), packed=True)
+    files = warc.write_warc(spark, folder, target, packed=True)
     return warc.read_files(spark, target, files)
 
 

@@ -1,23 +1,28 @@
 """Content-addressed WARC archive.
 
-``pack`` keeps two tables: *payloads*, each distinct payload once under its SHA-256 (with length and
-SHA-1, which must agree within a digest), and *records*, the exact header bytes of every record with
-the digest of its payload.  ``records_of`` reconstructs the original records by a join;
-``write_warc`` and ``read_warc`` put them into WARC files and parse such files, one record in memory at
-a time; ``read_files`` does so for all files and says what each page's record holds.
+``pack`` keeps two tables: *payloads*, each distinct payload once under its SHA-256 (with its length),
+and *records*, the exact header bytes of every record with the digest of its payload.  ``records_of``
+reconstructs the original records by a join; ``write_warc`` and ``read_warc`` put them into WARC files
+and parse such files, one record in memory at a time; ``read_files`` does so for all files and says
+what each page's record holds.
 
 Of records with equal payloads of at least ``min_bytes`` the one with the largest page_id is the
 response; the others are revisits that refer to it.
 
+Layout.  The store is bucketed by (digest, page_id of the record that brought the payload).  Payloads
+are shuffled once, into that layout; when records are rebuilt, the scan already has the partitioning
+of the join, so only headers move, and a task writes its records into one WARC file.
+
 Only digests are shuffled to find the responses (an aggregate with map-side combine, so a payload
-shared by a third of all pages is one row a task); payloads travel once, to the store, and a page
-that revisits carries none.  The join of pages to responses has one response a digest; a hot digest is
-split by a salt on the page side, with the response copied to each salt.
+shared by a third of all pages is one row a task).  Pages that share a payload differ in page_id, so no
+key of the payload shuffle is hot; small payloads that are all responses are spread by a salt, and so
+are revisits, with the payload or response copied to each salt.
 
 Defined cases: null html is an empty payload (equal empty payloads are linked like others when
-min_bytes is 0); null url is written as an empty target; repeated page_ids are kept as records of
-their own (equal ids with equal payloads: one of the rows is the response); a null page_id never wins,
-and records that no page_id could be referred to by are all responses.
+min_bytes is 0); a payload of any length is one record; null url is written as an empty target;
+repeated page_ids are kept as records of their own (equal ids with equal payloads: one of the rows is
+the response); a null page_id never wins, and records that no page_id could be referred to by are all
+responses; no pages give empty tables and no files; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ from . import common
 CRLF = b"\r\n"
 DATE = "1970-01-01T00:00:00Z"
 SALTS = 32
+NOBODY = -(1 << 63)  # stands for a null page_id in keys
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -100,61 +106,65 @@ def pack(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
 
     salted = winners.where("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = brief.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    linked = dealt.join(salted, (dealt["shared"] == salted["d"]) & (dealt["salt"] == salted["salt"]), "left")
-    linked = linked.select("page_id", "url", "sha1", "size", "digest", F.when(F.col("uid") != F.col("winner_uid"), F.col("winner")).alias("refers_to"), F.coalesce((F.col("uid") != F.col("winner_uid")) & F.col("winner").isNotNull(), F.lit(False)).alias("revisit"))
+    linked = dealt.join(salted, (dealt["digest"] == salted["d"]) & (dealt["salt"] == salted["salt"]), "left")
+    # ``alone``: a response that is not the one whose payload is stored.
+    linked = linked.withColumn("wins", F.col("d").isNull() | (F.col("uid") == F.col("winner_uid")))
+    linked = linked.withColumn("revisit", ~F.col("wins") & F.col("shared").isNotNull() & F.col("winner").isNotNull()).withColumn("alone", ~F.col("wins") & ~F.col("revisit"))
+    linked = linked.select("page_id", "url", "sha1", "size", "digest", F.when(F.col("revisit"), F.col("winner")).alias("refers_to"), "revisit", "alone")
 
     def heads(batch):
         out = [header(p, u, n, base64.b32encode(bytes.fromhex(h)).decode(), r if v else None) for p, u, n, h, r, v in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "sha1", "refers_to", "revisit")))]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(out, pa.binary()), batch.column("revisit")], ["page_id", "digest", "header", "revisit"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(out, pa.binary()), batch.column("revisit"), batch.column("alone")], ["page_id", "digest", "header", "revisit", "alone"])
 
     with common.frugal(spark):
-        common.map_arrow(linked, heads, "page_id bigint, digest binary, header binary, revisit boolean").write.parquet(f"{folder}/records")
-
-    # The payload of each digest once: that of its response, found by (digest, page_id), so no hot key.
-    named = winners.select("d", "winner")
-    chosen = own.join(named, (own["digest"] == named["d"]) & own["page_id"].eqNullSafe(named["winner"]))
+        common.map_arrow(linked, heads, "page_id bigint, digest binary, header binary, revisit boolean, alone boolean").write.parquet(f"{folder}/records")
+
+    # The payload of each digest once: that of its winner, found by (digest, page_id), so no hot key.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = winners.select(F.col("d").alias("digest"), F.coalesce("winner", F.lit(NOBODY)).alias("giver"))
+    chosen = own.withColumn("giver", F.coalesce("page_id", F.lit(NOBODY))).select("digest", "giver", "size", "payload").join(named, ["digest", "giver"])
+    once = chosen.dropDuplicates(["digest", "giver"])
+    name = f"warc_{uuid.uuid4().hex}"
     with common.frugal(spark):
-        chosen.select("digest", "page_id", "size", "payload").dropDuplicates(["digest", "page_id"]).select("digest", "size", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+        once.write.option("compression", "zstd").option("path", f"{folder}/payloads").bucketBy(buckets, "digest", "giver").format("parquet").saveAsTable(name)
+    spark.sql(f"drop table {name}")  # its files stay
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """digest, size, sha1 (base32) and payload of the store; a payload that doesn't have its digest is an error."""
-    stored = spark.read.parquet(f"{folder}/payloads")
-
-    def verify(batch):
-        data = batch.column("payload").to_pylist()
-        for want, size, payload in zip(batch.column("digest").to_pylist(), batch.column("size").to_pylist(), data):
-            if hashlib.sha256(payload).digest() != want or len(payload) != size:
-                raise ValueError(f"payload {want.hex()} is damaged")
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("size"), pa.array([sha1_base32(p) for p in data]), batch.column("payload")], ["digest", "size", "sha1", "payload"])
-
-    return common.map_arrow(stored, verify, "digest binary, size bigint, sha1 string, payload binary")
+    """digest, giver, size, sha1 (hex) and payload of the store; a payload that doesn't have its digest is an error.
 
-
-def _to_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Header rows with size and sha1 of their payloads, as the store has them.
-
-    A response is the only one of its digest.  Revisits of one digest may be any share of all rows, so
-    they are dealt by a salt, and only the digests that are revisited are copied to the salts.
+    The scan knows its buckets, so a join on (digest, giver) leaves it where it is.
     """
-    records = spark.read.parquet(f"{folder}/records")
-    found = common.materialize(payloads(spark, folder).select("digest", "size", "sha1"), "warc-verified")
-    again = records.where("revisit").withColumn("salt", F.pmod(F.xxhash64("page_id", "header"), F.lit(SALTS)).cast("int"))
-    copied = found.join(again.select("digest").distinct(), "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return records.where("not revisit").join(found, "digest").unionByName(again.join(copied, ["digest", "salt"]).drop("salt"))
+    folder = common.run_location(spark, folder, make=False)
+    buckets, name = spark.read.parquet(f"{folder}/layout").first().buckets, f"warc_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
+    spark.sql(f"create table if not exists {name} (digest binary, giver bigint, size bigint, payload binary) using parquet clustered by (digest, giver) into {buckets} buckets location '{folder}/payloads'")
+    whole = (F.unhex(F.sha2("payload", 256)) == F.col("digest")) & (F.octet_length("payload") == F.col("size"))
+    damaged = F.raise_error(F.concat(F.lit("damaged payload "), F.hex("digest"))).cast("binary")
+    return spark.table(name).withColumn("payload", F.when(whole, F.col("payload")).otherwise(damaged)).select("digest", "giver", "size", F.sha1("payload").alias("sha1"), "payload")
 
 
 def records_of(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id and the exact bytes of each record as it would stand alone in an archive."""
-    records = spark.read.parquet(f"{folder}/records")
-    stored = payloads(spark, folder).select("digest", "payload")
+    """page_id and the exact bytes of each record as it would stand alone in an archive.
+
+    Headers of the records whose payloads are stored join the store where it lies; revisits need no
+    payload; responses that repeat a payload (small ones, or of pages without an id) may be any share
+    of all rows, so they are dealt by a salt and their payloads are copied to the salts.
+    """
+    records = spark.read.parquet(f"{folder}/records").withColumn("giver", F.coalesce("page_id", F.lit(NOBODY)))
+    stored = payloads(spark, folder)
     end = F.lit(CRLF * 2)
-    full = records.where("not revisit").join(stored, "digest").select("page_id", "digest", F.concat("header", "payload", end).alias("record"))
-    return full.unionByName(records.where("revisit").select("page_id", "digest", F.concat("header", end).alias("record")))
+    first = records.where("not revisit and not alone").join(stored.select("digest", "giver", "payload"), ["digest", "giver"]).select("page_id", F.concat("header", "payload", end).alias("record"))
+    rest = records.where("revisit").select("page_id", F.concat("header", end).alias("record"))
+    alone = records.where("alone").withColumn("salt", F.pmod(F.xxhash64("page_id", "header", F.rand(7)), F.lit(SALTS)).cast("int"))
+    if not alone.isEmpty():
+        copied = stored.select("digest", "payload").join(alone.select("digest").distinct(), "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rest = rest.unionByName(alone.join(copied, ["digest", "salt"]).select("page_id", F.concat("header", "payload", end).alias("record")))
+    return first.unionByName(rest)
 
 
-def write_warc(spark: SparkSession, folder: str, target: str, partitions: int, packed: bool = False) -> DataFrame:
-    """Reconstructed records in WARC files under ``target``; returns path and number of records of each file.
+def write_warc(spark: SparkSession, folder: str, target: str, packed: bool = False) -> DataFrame:
+    """Reconstructed records in WARC files under ``target``, a file a task; returns path and number of records of each file.
 
     ``packed``: a gzip member a record, as .warc.gz files have it.
     """
@@ -165,18 +175,20 @@ def write_warc(spark: SparkSession, folder: str, target: str, partitions: int, p
 
         context, fs_path = TaskContext.get(), common.shared_fs(target)
         fs, base = fs_path
-        own, count = f"{base}/.{context.partitionId():06d}-{context.taskAttemptId()}", 0
-        with fs.open_output_stream(own) as out:
-            for batch in batches:
-                for record in batch.column("record").to_pylist():
-                    out.write(gzip.compress(record, 1, mtime=0) if packed else record)
-                    count += 1
+        own, count, out = f"{base}/.{context.partitionId():06d}-{context.taskAttemptId()}", 0, None
+        for batch in batches:
+            for record in batch.column("record").to_pylist():
+                out = out or fs.open_output_stream(own)
+                out.write(gzip.compress(record, 1, mtime=0) if packed else record)
+                count += 1
+        if out is None:
+            return
+        out.close()
         path = f"part-{context.partitionId():06d}.warc{'.gz' if packed else ''}"
         fs.move(own, f"{base}/{path}")
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "records"])
 
-    rows = records_of(spark, folder).repartitionByRange(partitions, "page_id").sortWithinPartitions("page_id", "record")
-    return common.materialize(rows.select("record").mapInArrow(common.trimmed(run), "path string, records bigint"), "warc-files")
+    return common.materialize(records_of(spark, folder).select("record").mapInArrow(common.trimmed(run), "path string, records bigint"), "warc-files")
 
 
 def read_warc(source) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -197,7 +209,7 @@ def read_warc(source) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
 
 
 def read_files(spark: SparkSession, target: str, files: DataFrame) -> DataFrame:
-    """Per page what its record in the WARC files says; columns as of ``read_back``.
+    """Per page what its record in the WARC files says: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Sizes and digests of responses are those of the payload bytes in the file, and those of revisits
     must be the ones of the response they refer to; anything else is an error.  Revisits of one
@@ -252,24 +264,3 @@ def read_files(spark: SparkSession, target: str, files: DataFrame) -> DataFrame:
     held = again.join(there, [*keys, "salt"], "left")
     sized = F.when(F.col("found") == F.col("payload_bytes"), F.col("found")).otherwise(F.raise_error(F.lit("a revisit without its response")).cast("long"))
     return said.where("record_type = 'response'").unionByName(held.withColumn("payload_bytes", sized).select(*names))
-
-
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Per page what the archive says: page_id, payload_bytes, payload_digest, record_type, refers_to.
-
-    Sizes and digests are those of the stored payload; a header that names others is an error.
-    """
-
-    def fields(batch):
-        out = []
-        for head, size, sha1 in zip(*(batch.column(c).to_pylist() for c in ("header", "size", "sha1"))):
-            f = parse(head)
-            if f["WARC-Payload-Digest"] != f"sha1:{sha1}" or int(f["X-Payload-Length"]) != size:
-                raise ValueError(f"record {f['WARC-Record-ID']} doesn't fit its payload")
-            refers = f.get("X-Refers-To-Page")
-            out.append((int(f["X-Page-ID"]) if f["X-Page-ID"] else None, size, sha1, f["WARC-Type"], int(refers) if refers else None))
-        cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    rows = _to_records(spark, folder).select("header", "size", "sha1")
-    return common.map_arrow(rows, fields, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")

@@ -111,30 +111,60 @@ def pages(spark):
     return spark.createDataFrame([(*p, 1, "d") for p in PAGES], "page_id long, url string, html string, size int, digest string").repartition(3)
 
 
-@pytest.mark.parametrize("least", [0, 5])
-def test_archive_says_what_the_pages_are(spark, least):
-    folder = common.scratch(spark, "w")
-    W.pack(pages(spark), folder, least)
+def said(spark, rows, least=0, packed=True):
+    """The page records that go through the archive's files."""
+    folder, target = common.scratch(spark, "w"), common.scratch(spark, "f")
+    W.pack(spark.createDataFrame([(*r, 1, "d", "g") for r in rows], "page_id long, url string, html string, size int, digest string, giver string").repartition(3), folder, least)
+    files = W.write_warc(spark, folder, target, packed=packed)
+    return folder, sorted(map(tuple, W.read_files(spark, target, files).collect()), key=repr)
+
+
+def wanted(rows, least=0):
     best = {}
-    for k, _, html in PAGES:
+    for k, _, html in rows:
         if k is not None:
-            best[html or ""] = max(best.get(html or "", 0), k)
-    got = sorted(map(tuple, W.read_back(spark, folder).collect()), key=repr)
+            best[html or ""] = max(best.get(html or "", k), k)
     want, seen = [], set()
-    for k, _, html in PAGES:
-        data = (html or "").encode()
-        first = best.get(html or "")
-        response = len(data) < least or first is None or (k == first and k not in seen)
-        seen.add(k)
+    for k, _, html in rows:
+        data, first = (html or "").encode(), best.get(html or "")
+        response = len(data) < least or first is None or (k == first and (k, data) not in seen)
+        seen.add((k, data))
         want.append((k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else first))
-    assert got == sorted(want, key=repr)
-    assert spark.read.parquet(f"{folder}/payloads").count() == len({h or "" for _, _, h in PAGES})
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("least", [0, 5, 10**6])
+@pytest.mark.parametrize("packed", [False, True])
+def test_files_say_what_the_pages_are(spark, least, packed):
+    rows = [*PAGES, (None, "u", "nobody"), (9, "u", "same"), (9, "u", "other"), (9, "u", "same"), (-3, "u", "long " * 400_000)]
+    folder, got = said(spark, rows, least, packed)
+    assert got == wanted(rows, least)
+    assert spark.read.parquet(f"{folder}/payloads").count() == len({h or "" for _, _, h in rows})
+
+
+def test_many_pages_of_one_payload(spark):
+    rows = [(k, "u", "one page") for k in range(700)] + [(1000 + k, "u", f"page {k}") for k in range(50)]
+    for least in (0, 100):
+        assert said(spark, rows, least)[1] == wanted(rows, least)
+
+
+def test_payloads_move_once(spark):
+    """Records are rebuilt where the store lies: the plan has one exchange, that of the headers."""
+    folder = common.scratch(spark, "w")
+    W.pack(pages(spark).where("page_id is not null"), folder)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = W.records_of(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("Exchange") == 1 and "SelectedBucketsCount" in plan, plan
 
 
 def test_records_can_be_rebuilt_and_parsed(spark):
     folder, target = common.scratch(spark, "w"), common.scratch(spark, "f")
     W.pack(pages(spark), folder)
-    files = W.write_warc(spark, folder, target, 3)
+    files = W.write_warc(spark, folder, target)
     assert files.agg({"records": "sum"}).first()[0] == len(PAGES)
     root = common.shared_fs(target)[1]
     seen = []
@@ -149,26 +179,6 @@ def test_records_can_be_rebuilt_and_parsed(spark):
     assert sorted(x for x, _ in seen) == sorted("" if k is None else str(k) for k, _, _ in PAGES)
 
 
-@pytest.mark.parametrize("packed", [False, True])
-def test_files_say_what_the_pages_are(spark, packed):
-    folder, target = common.scratch(spark, "w"), common.scratch(spark, "f")
-    rows = [*PAGES, (None, "u", "nobody")]  # two records that nothing can refer to
-    W.pack(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder)
-    files = W.write_warc(spark, folder, target, 3, packed=packed)
-    got = sorted(map(tuple, W.read_files(spark, target, files).collect()), key=repr)
-    best = {}
-    for k, _, html in rows:
-        if k is not None:
-            best[html or ""] = max(best.get(html or "", 0), k)
-    want, seen = [], set()
-    for k, _, html in rows:
-        data, first = (html or "").encode(), best.get(html or "")
-        response = first is None or (k == first and k not in seen)
-        seen.add(k)
-        want.append((k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else first))
-    assert got == sorted(want, key=repr)
-
-
 def test_registered_query_writes_and_parses_warc_files(spark, tmp_path, monkeypatch):
     from quarry.llm.queries import QUERIES
 
@@ -188,17 +198,33 @@ def test_cut_files_are_noticed():
 
 
 def test_damaged_payload_is_noticed(spark):
-    folder, other = common.scratch(spark, "w"), common.scratch(spark, "w")
+    folder = common.scratch(spark, "w")
     W.pack(pages(spark), folder)
-    from pyspark.sql import functions as F
-
-    spark.read.parquet(f"{folder}/payloads").withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(f"{other}/payloads")
-    spark.read.parquet(f"{folder}/records").write.parquet(f"{other}/records")
+    rows = [(bytes(r.digest), r.giver, r.size, bytes(r.payload) + b"!") for r in spark.read.parquet(f"{folder}/payloads").collect()]
+    spark.createDataFrame(rows, "digest binary, giver long, size long, payload binary").write.option("path", f"{folder}/payloads").mode("overwrite").bucketBy(4, "digest", "giver").saveAsTable("broken_store")
     with pytest.raises(Exception, match="damaged"):
-        W.read_back(spark, other).collect()
+        W.records_of(spark, folder).collect()
+    spark.sql("drop table broken_store")
+
+
+def test_damaged_files_break_the_query(spark, tmp_path, monkeypatch):
+    from quarry.llm.queries import QUERIES
+
+    pages(spark).write.parquet(f"{tmp_path}/pages.parquet")
+    write = W.write_warc
+
+    def spoil(spark, folder, target, packed=False):
+        files = write(spark, folder, target, packed=False)
+        for r in files.collect():
+            path = f"{common.shared_fs(target)[1]}/{r.path}"
+            data = open(path, "rb").read()
+            open(path, "wb").write(data.replace(b"<p>", b"<q>"))
+        return files
+
+    monkeypatch.setattr(W, "write_warc", spoil)
+    with pytest.raises(Exception, match="fit its payload"):
+        QUERIES["op4_warc"](spark, str(tmp_path)).collect()
 
 
 def test_no_pages(spark):
-    folder = common.scratch(spark, "w")
-    W.pack(spark.createDataFrame([], "page_id long, url string, html string"), folder)
-    assert W.read_back(spark, folder).count() == 0
+    assert said(spark, [])[1] == []
