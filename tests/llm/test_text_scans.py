@@ -218,3 +218,45 @@ def test_decontaminate_documents_and_spans(spark, odd, block):
     assert cut[0] == "x y" and cut[2] == "a b" and cut[3] == "shortitem" and cut[4] is None and cut[1] == PASSAGES[1] and cut[9] == " "
     again = D.decontaminate(odd, bench)
     assert again.columns == odd.columns and again.count() == odd.count()
+
+
+def test_decontamination_leaves_any_column_alone(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    names = ["ranges", "items", "row", "__ranges", "__items", "doc"]
+    rows = [(k, t, *range(len(names))) for k, t in enumerate(PASSAGES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    clean = sorted(tuple(r) for r in D.decontaminate(df, bench, block_bytes=60).collect())
+    assert repr(clean) == repr(sorted(r for r in rows if not contaminated(r[1], ITEMS)[4]))
+    alone = D.decontaminate(df.select("text"), bench)
+    assert alone.columns == ["text"] and alone.count() == len(clean)
+
+
+def test_window_table_is_as_small_as_it_says():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(5000)]
+    items = [(str(k), " ".join(r.choice(vocabulary) for _ in range(300))) for k in range(2000)]
+    items += [(f"again{k}", items[5][1]) for k in range(50)]
+    table = D.WindowTable(items, 10)
+    assert table.nbytes <= 7 * sum(len(t) for _, t in items)
+    w = D.kernels.words(pa.array([items[5][1].upper(), "nothing of it", " ".join(items[7][1].split()[40:52])]), D.kernels.ALNUM_WORDS)
+    hits = table.hits(w)
+    assert D.merged(hits[0][0]) == [(0, 300)] and hits[0][1] == {"5", *(f"again{k}" for k in range(50))}
+    assert D.merged(hits[2][0]) == [(0, 12)] and hits[2][1] == {"7"} and set(hits) == {0, 2}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash of three values every lookup collides; words decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(D.kernels, "window_hashes", lambda h, n: (h[: max(0, len(h) - n + 1)] % np.uint64(3)) << np.uint64(60))
+    table = D.WindowTable([(str(i), t or "") for i, t in ITEMS], 10)
+    hits = table.hits(D.kernels.words(pa.array(PASSAGES, pa.large_string()), D.kernels.ALNUM_WORDS))
+    for k, text in enumerate(PASSAGES):
+        n_words, n_hit, n_items, *_ = contaminated(text, ITEMS)
+        ranges, names = hits.get(k, ([], set()))
+        assert (sum(b - a for a, b in D.merged(ranges)), len(names)) == (n_hit, n_items)
