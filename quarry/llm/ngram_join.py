@@ -19,9 +19,10 @@ range is cut into m segments; a set's elements in a segment are a *segment subse
 The cheaper allocation is chosen for each band from its sizes: deletion neighbourhoods where the sets
 are small, exact subsets with the x and t that cost the fewest signatures elsewhere.
 
-Index.  Signatures are dealt by hash in packed blobs and sorted in each task; a signature with two
-sets or more gives one row with its members (above GROUP members, one row a pair of blocks).  No pair
-is emitted.
+Index.  Signatures are dealt by hash in packed blobs and sorted in each task, so many tasks that a
+task's share is bounded; a signature with two sets or more gives one row with its members.  No pair is
+emitted.  A signature of more than GROUP sets (a family of near copies, or sets that happen to share
+a poor segment) gives rows of half as many.
 
 Checks.  Each set has a parity sketch (bit = parity of the elements that hash to it).  Two sketches
 differ in no more bits than the sets differ in elements, so a pair whose sketches differ in more than
@@ -31,9 +32,17 @@ are verified on the full sets.  A second round verifies every remaining pair tha
 and lies in different components.  So no link between components is lost, and links inside one aren't
 all spelled out.
 
-Defined cases: null texts and texts without words have an empty set and link with nothing; a null
-doc_id takes part, and gives way to any other id as component id; repeated rows are copies; extra
-columns are ignored (``dedupe`` passes them through).
+Large groups.  The first round looks at their first block with each of the others, which joins most
+of a family.  In the second round a large group that still has several components is dealt anew by a
+universe partition of another seed (linked sets share a signature in every one of them); a part that
+is large again, and a group that doesn't fall apart by it, is compared block by block, blocks of one
+and the same component left out.
+
+Defined cases: null texts and texts without words have an empty set and link with nothing; a text of
+any length is one set; a null doc_id takes part, and gives way to any other id as component id; rows
+that repeat an id, with whatever text, are documents of their own; repeated rows are copies; an empty
+table gives an empty result; extra columns are ignored (``dedupe`` passes them through in a struct,
+whatever their names).
 """
 
 from __future__ import annotations
@@ -52,6 +61,7 @@ from . import common, kernels
 U = np.uint64
 GROUP = 1024
 SALTS = 32
+SHARE = 64 << 20  # bytes of signatures that a task of the index holds, about
 BITMAP = 25  # bits of the hash that select contents to fetch
 
 
@@ -139,6 +149,13 @@ class Bands:
         return options[1] if options[1][0] <= 1.15 * options[0][0] else options[0]
 
 
+def reseeded(h: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    """The sets under another hash, each sorted again."""
+    other = kernels.mix(h + U(seed) * U(0xD1342543DE82EF95))
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return other[np.lexsort((other, of))]
+
+
 def signatures(h: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set id) of all sets; each set once, whatever its copies."""
     sizes = np.diff(offsets)
@@ -281,9 +298,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node bigint, label bigint")
 
 
-def _groups(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """gid, members: the sets that share a signature."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _groups(docs: DataFrame, n: int, bands: Bands, elements: int) -> DataFrame:
+    """gid, block, members: the sets that share a signature; block is -1 but for groups of several rows."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-32 * elements // SHARE))
     buckets = 8 * parts
     p, q = bands.p, bands.q
 
@@ -349,29 +366,76 @@ def _groups(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
         for a in range(0, len(small), 4096):
             g = small[a : a + 4096]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[g])]), pa.int32()), pa.array(of[_spread(start[g], size[g])]))
-            yield pa.RecordBatch.from_arrays([pa.array(gid[g]), lists], ["gid", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(gid[g]), pa.array(np.full(len(g), -1, np.int32)), lists], ["gid", "block", "members"])
         half = GROUP // 2
         for g in some[size[some] > GROUP].tolist():
-            members = of[start[g] : start[g] + size[g]]
-            blocks = [members[a : a + half] for a in range(0, len(members), half)]
-            for i in range(len(blocks)):
-                for j in range(i + 1, len(blocks)):
-                    both = np.concatenate([blocks[i], blocks[j]])
-                    yield pa.RecordBatch.from_arrays([pa.array(kernels.mix(np.array([gid[g]]).view(U) + U(i * 65537 + j)).view(np.int64)), pa.array([both], pa.list_(pa.int64()))], ["gid", "members"])
+            for k, a in enumerate(range(0, int(size[g]), half)):
+                members = of[start[g] + a : start[g] + min(a + half, int(size[g]))]
+                yield pa.RecordBatch.from_arrays([pa.array(gid[g : g + 1]), pa.array([k], pa.int32()), pa.array([members], pa.list_(pa.int64()))], ["gid", "block", "members"])
 
     blobs = docs.select("text").mapInArrow(common.trimmed(index), "bucket int, sigs binary, ids binary")
-    return blobs.repartition(parts, "bucket").mapInArrow(common.trimmed(meet), "gid bigint, members array<bigint>").dropDuplicates(["gid"])
+    return blobs.repartition(parts, "bucket").mapInArrow(common.trimmed(meet), "gid bigint, block int, members array<bigint>").dropDuplicates(["gid", "block"])
+
+
+def _first_look(groups: DataFrame) -> DataFrame:
+    """gid, set_id of the groups as the first round sees them: large ones as their first block with each other one."""
+    small = groups.where("block < 0").select("gid", F.explode("members").alias("set_id"))
+    head = groups.where("block = 0").select("gid", F.col("members").alias("head"))
+    pairs = groups.where("block > 0").join(head, "gid").select(F.xxhash64("gid", "block").alias("gid"), F.explode(F.concat("head", "members")).alias("set_id"))
+    return small.unionByName(pairs)
 
 
-def _met(groups: DataFrame, meta: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups with what each member needs for the sketch filter."""
-    member = groups.select("gid", F.explode("members").alias("set_id")).join(meta, "set_id")
-    if labels is not None:
-        member = member.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id"))
-        mixed = member.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid")
-        member = member.join(mixed, "gid", "left_semi")
-    else:
+def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """gid, set_id, label of the groups that have several labels."""
+    member = member.join(labels, F.col("set_id") == F.col("node"), "left").select("gid", "set_id", F.coalesce("label", "set_id").alias("label"))
+    mixed = member.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid")
+    return member.join(mixed, "gid", "left_semi")
+
+
+def _second_look(docs: DataFrame, n: int, groups: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
+    """gid, set_id, label of groups that hold every pair of sets that share a signature and differ in label."""
+    p, q = bands.p, bands.q
+    found = _labelled(groups.where("block < 0").select("gid", F.explode("members").alias("set_id")), labels)
+    large = common.materialize(_labelled(groups.where("block >= 0").select("gid", F.explode("members").alias("set_id")), labels), "join-large")
+    if large.isEmpty():
+        return found
+    contents = common.materialize(_contents(docs, n, large.select("set_id").distinct()), "join-large-sets")
+
+    def again(batch):
+        own, sizes = Bands(p, q), [len(x) // 8 for x in batch.column("hashes").to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        h = reseeded(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), U), offsets, 1)
+        sig, of = signatures(h, offsets, np.arange(len(sizes)), own)  # by row: a set may stand in several groups
+        take = pa.array(of)
+        yield pa.RecordBatch.from_arrays([batch.column("gid").take(take), pa.array(sig.view(np.int64)), batch.column("set_id").take(take), batch.column("label").take(take)], ["gid", "sig", "set_id", "label"])
+
+    dealt = common.map_arrow(large.join(contents, "set_id").select("gid", "set_id", "label", "hashes"), again, "gid bigint, sig bigint, set_id bigint, label bigint")
+    dealt = common.materialize(dealt.select(F.col("gid").alias("whole"), F.xxhash64("gid", "sig").alias("gid"), "set_id", "label").distinct(), "join-dealt")
+    parts = dealt.groupBy("whole", "gid").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    parts = common.materialize(parts.select("whole", "gid", "n"), "join-parts")
+    # A group that falls into parts that cost as much as itself is left whole.
+    cost = parts.where(F.col("n") > GROUP).groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+    dense = cost.join(large.groupBy(F.col("gid").alias("whole")).agg(F.count("*").alias("n")), "whole").where("cost >= n * n").select("whole")
+    dense = common.materialize(dense, "join-dense")
+    parts = parts.join(dense, "whole", "left_anti")
+    found = found.unionByName(dealt.join(parts.where(F.col("n") <= GROUP).select("gid"), "gid", "left_semi").select("gid", "set_id", "label"))
+    large = large.join(dense.withColumnRenamed("whole", "gid"), "gid", "left_semi").unionByName(dealt.join(parts.where(F.col("n") > GROUP).select("gid"), "gid", "left_semi").select("gid", "set_id", "label"))
+    # Block by block: members in order of their labels, pairs of blocks that have two labels.
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("gid").orderBy("label", "set_id")) - 1
+    blocks = common.materialize(large.withColumn("b", F.floor(place / (GROUP // 2)).cast("int")), "join-blocks")
+    about = blocks.groupBy("gid", "b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    one, two = about.toDF("gid", "i", "lo", "hi"), about.toDF("gid", "j", "lo2", "hi2")
+    pairs = one.join(two, "gid").where("i < j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("gid", F.explode(F.array("i", "j")).alias("b"), F.xxhash64("gid", "i", "j").alias("pair"))
+    return found.unionByName(blocks.join(pairs, ["gid", "b"]).select(F.col("pair").alias("gid"), "set_id", "label"))
+
+
+def _met(member: DataFrame, meta: DataFrame) -> DataFrame:
+    """Groups (from gid, set_id and maybe label) with what each member needs for the sketch filter."""
+    if "label" not in member.columns:
         member = member.withColumn("label", F.col("set_id"))
+    member = member.join(meta, "set_id")
     return member.groupBy("gid").agg(F.collect_list(F.struct("n", "set_id", "label", "sketch")).alias("m")).select(F.col("m.set_id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.label").alias("labels"), F.col("m.sketch").alias("sketches"))
 
 
@@ -456,41 +520,55 @@ def _verified(edges: DataFrame, contents: DataFrame, p: int, q: int) -> DataFram
     return common.map_arrow(edges.join(one, "u").join(two, "v").select("u", "v", "hu", "hv"), run, "u bigint, v bigint")
 
 
-def join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
+def _classes(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, twin (hash of the text), n, and of the row's component the least (nobody, doc_id, twin) as ``best``.
 
-    Sets link when q * |intersection| >= p * |union| for threshold (p, q).  ``component_id`` is the
-    smallest doc_id reachable by links.
+    ``best`` is null for rows without words.
     """
-    spark = docs.sparkSession
     bands = Bands(*threshold)
 
     def describe(batch):
         h, offsets = sets_of(batch.column("text"), n)
         ids, sizes = set_ids(h, offsets), np.diff(offsets)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, mask=sizes == 0), pa.array(sketches(h, offsets), pa.binary())], ["doc_id", "n", "set_id", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array(sizes, pa.int64()), pa.array(ids, mask=sizes == 0), pa.array(sketches(h, offsets), pa.binary())], ["doc_id", "twin", "n", "set_id", "sketch"])
 
-    rows = common.materialize(common.map_arrow(docs.select("doc_id", "text"), describe, "doc_id bigint, n bigint, set_id bigint, sketch binary"), "join-rows")
-    meta = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
+    rows = common.materialize(common.map_arrow(texts, describe, "doc_id bigint, twin bigint, n bigint, set_id bigint, sketch binary"), "join-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nobody"), "doc_id", "twin")).alias("first")
+    meta = rows.where("set_id is not null").groupBy("set_id").agg(best, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     meta = common.materialize(meta, "join-sets")
-    groups = common.materialize(_groups(docs, n, bands), "join-groups")
+    groups = common.materialize(_groups(docs, n, bands, meta.agg(F.sum("n")).first()[0] or 0), "join-groups")
     about = meta.select("set_id", "n", "sketch")
-    forest = common.materialize(_edges(_met(groups, about, None), bands, True), "join-forest")
+    forest = common.materialize(_edges(_met(_first_look(groups), about), bands, True), "join-forest")
     needed = common.materialize(forest.select(F.explode(F.array("u", "v")).alias("set_id")).distinct(), "join-needed")
     contents = common.materialize(_contents(docs, n, needed), "join-contents")
     good = common.materialize(_verified(forest, contents, *threshold), "join-good")
     labels = components(good)
-    rest = common.materialize(_edges(_met(groups, about, labels), bands, False), "join-rest").join(forest, ["u", "v"], "left_anti")
+    rest = common.materialize(_edges(_met(_second_look(docs, n, groups, labels, bands), about), bands, False).join(forest, ["u", "v"], "left_anti"), "join-rest")
+    lacking = rest.select(F.explode(F.array("u", "v")).alias("set_id")).distinct().join(needed, "set_id", "left_anti")
+    lacking = common.materialize(lacking, "join-lacking")
+    if not lacking.isEmpty():  # sets that only meet in a later block of a large group
+        contents = contents.unionByName(common.materialize(_contents(docs, n, lacking), "join-contents"))
     more = common.materialize(_verified(rest, contents, *threshold), "join-more")
     if not more.isEmpty():
         labels = components(good.unionByName(more))
 
     of_set = meta.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    lowest = of_set.groupBy("label").agg(F.min("first").alias("component_id"))
-    salted = _salted_join(of_set, lowest, "label", "set_id").select("set_id", "component_id")
-    linked = _salted_join(rows.where("set_id is not null").select("doc_id", "n", "set_id"), salted, "set_id", "doc_id")
-    alone = rows.where("set_id is null").select("doc_id", F.lit(0).cast("long").alias("n"), F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n", "component_id").unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "n_shingles", "component_id")
+    lowest = of_set.groupBy("label").agg(F.min("first").alias("best"))
+    salted = _salted_join(of_set, lowest, "label", "set_id").select("set_id", "best")
+    linked = _salted_join(rows.where("set_id is not null").select("doc_id", "twin", "n", "set_id"), salted, "set_id", "doc_id")
+    alone = rows.where("set_id is null").select("doc_id", "twin", F.lit(0).cast("long").alias("n"), F.lit(None).cast(lowest.schema["best"].dataType).alias("best"))
+    return linked.select("doc_id", "twin", "n", "best").unionByName(alone)
+
+
+def join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id.
+
+    Sets link when q * |intersection| >= p * |union| for threshold (p, q).  ``component_id`` is the
+    smallest doc_id reachable by links.
+    """
+    own = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return _classes(docs, n, threshold).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _salted_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
@@ -501,13 +579,22 @@ def _salted_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> Data
 
 
 def dedupe(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id; the columns stay.
+    """``docs`` with one row of each component; the columns stay.
 
-    Rows that repeat an id and its text are one document.
+    It is the row of the smallest doc_id (a null id comes last); of several texts with that id, the one
+    of the smallest hash; of rows with that id and text, the one whose other columns have the smallest
+    hash.  Rows without words all stay.
     """
-    from pyspark.sql import Window
-
-    dropped = join(docs, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("__copy", F.row_number().over(again)).where("__copy = 1 or doc_id is null").select(*(F.col(f"`{c}`") for c in docs.columns))
+    classes = common.materialize(_classes(docs, n, threshold).where("best is not null").select("doc_id", "twin", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("twin") == F.col("best.twin"))).alias("stays")), "join-classes")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("twin"))
+
+    def same(keys: DataFrame):
+        return keyed["id"].eqNullSafe(keys["doc_id"]) & (keyed["twin"] == keys["twin"])
+
+    gone = classes.where("not stays").select("doc_id", "twin").distinct()
+    kept = keyed.join(gone, same(gone), "left_anti")
+    repeated = common.materialize(classes.where("stays").groupBy("doc_id", "twin").count().where("count > 1").select("doc_id", "twin"), "join-repeated")
+    if not repeated.isEmpty():
+        several = keyed.join(repeated, same(repeated), "left_semi").groupBy("id", "twin").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.join(repeated, same(repeated), "left_anti").select("row").unionByName(several.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
