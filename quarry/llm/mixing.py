@@ -18,8 +18,10 @@ Neither ranks nor offsets sort a whole source in one task: both are sums inside
 chunks, hash ranges of documents) plus prefix sums over the bucket totals.
 
 Driver state is one row a source (its name and size).  Defined cases: null or empty texts have size 0
-and are never taken; an empty table gives an empty result; rows that are equal in id, source and text
-are told apart by a running number.
+and are never taken; a text of any length is laid out whole and may fill many blocks; equal hashes are
+ordered by id; rows that are equal in all columns are told apart by a running number, and it doesn't
+matter which has which; an empty table gives an empty result; extra columns pass through ``mix`` in a
+struct, whatever their names, and only tell rows apart elsewhere.
 """
 
 from __future__ import annotations
@@ -53,9 +55,14 @@ def targets(sizes: list[int], weights: list[float], epochs: int) -> list[float]:
     return out
 
 
-def _numbered(docs: DataFrame, size: Column) -> DataFrame:
-    """Identity of each row that a second scan finds again: id, source, hash of the text, running number."""
-    keyed = docs.withColumn("__size", size.cast("long")).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row, nulls told apart; maps, which have no order, as JSON."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*plain, *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (doc_id, source, __hash, ...) with a running number of equal rows: what a second scan finds again."""
     return keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__hash").orderBy(F.lit(0))))
 
 
@@ -67,7 +74,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int =
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD))
-    rows = common.materialize(_numbered(docs.select("doc_id", "source", "text"), size).drop("text"), "mix-rows")
+    rows = common.materialize(_numbered(docs.select("doc_id", "source", size.cast("long").alias("__size"), _row_hash(docs).alias("__hash"))), "mix-rows")
     found = {r.source: r for r in rows.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()}
     names = sorted((s for s in found if s is not None)) + [None] * (None in found)
     sizes = [found[s].size for s in names]
@@ -153,9 +160,9 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mixture holds them: each row as often as the mix begins it (0 to ``epochs`` times)."""
-    columns = docs.columns
-    counts = taken(docs, **how).where("copies > 0").select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(("doc_id", "source", "__hash", "__copy"))), F.col("copies").alias("__copies"))
-    own = _numbered(docs, F.lit(0))
-    same = [own[c].eqNullSafe(counts[f"__k{i}"]) for i, c in enumerate(("doc_id", "source", "__hash", "__copy"))]
-    joined = own.join(counts, same[0] & same[1] & same[2] & same[3])
-    return joined.withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in columns))
+    keys = ("doc_id", "source", "__hash", "__copy")
+    counts = taken(docs, **how).where("copies > 0").select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), "copies")
+    own = _numbered(docs.select("doc_id", "source", _row_hash(docs).alias("__hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    same = [own[c].eqNullSafe(counts[f"k{i}"]) for i, c in enumerate(keys)]
+    joined = own.join(counts, same[0] & same[1] & same[2] & same[3]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -109,20 +109,15 @@ reach(a, b) as (select doc_id, doc_id from sets union select reach.a, ways.y fro
 select s.doc_id, len(s.s)::bigint n_shingles, min(r.b) component_id from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.s
 """
 
-ORACLE_SQL["op9_token_rollup"] = rf"""
-with docs as (select doc_id, source, lang, coalesce(text, '') t from documents),
-kept as (select *, doc_id = min(doc_id) over (partition by t) as stays from docs)
-select source, lang, 'alnum-1' as version, count(*)::bigint n_docs, sum(len(regexp_extract_all(lower(t), '{ALNUM}')))::bigint n_tokens
-from kept where stays group by source, lang
-"""
-
 ORACLE_SQL["op7_line_dedup"] = r"""
 with docs as (select coalesce(doc_id, 9223372036854775807) d, doc_id, coalesce(text, '') t from documents),
 raw as (select d, doc_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) - 1 n from docs),
 lines as (select * from (select d, doc_id, n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') ws from raw) where len(ws) > 0),
 firsts as (select ws, min(struct_pack(d := d, n := n)) p from lines group by ws),
-longs as (select ws, p, array_to_string(ws, ' ') w from firsts where len(ws) >= 5),
-deletions as (select w, p, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') v from (select *, unnest(range(1, len(ws) + 1)) i from longs)),
+longs as (select p, w, case when wordy then ws else list_transform(range(1, length(s) + 1), lambda i: substr(s, i::int, 1)) end us, wordy
+          from (select ws, p, s, len(ws) >= 5 wordy, case when len(ws) >= 5 then 'w' else 'c' end || s w from (select ws, p, array_to_string(ws, ' ') s from firsts)) where wordy or length(s) >= 5),
+deletions as (select w, p, i, case when wordy then 'w' || array_to_string(list_concat(us[1:i - 1], us[i + 1:]), ' ') else 'c' || array_to_string(list_concat(us[1:i - 1], us[i + 1:]), '') end v
+              from (select *, unnest(range(1, len(us) + 1)) i from longs)),
 by_place as (select v, i, min(p) p from deletions group by v, i),
 by_variant as (select v, min(p) p from deletions group by v),
 near as (
@@ -131,7 +126,7 @@ near as (
   union select y.w from longs y join by_variant b on b.v = y.w where b.p < y.p),
 judged as (
   select l.d, l.doc_id, l.n, struct_pack(d := l.d, n := l.n) <> f.p as exact, near.w is not null as close
-  from lines l join firsts f using (ws) left join near on near.w = array_to_string(l.ws, ' ') and len(l.ws) >= 5),
+  from lines l join firsts f using (ws) left join near on near.w = case when len(l.ws) >= 5 then 'w' else 'c' end || array_to_string(l.ws, ' ')),
 each as (
   select d, count(*) n_lines, count(*) filter (where exact) n_exact, count(*) filter (where close and not exact) n_near,
          string_agg(n::varchar, ',' order by n) filter (where exact or close) removed from judged group by d)

@@ -56,26 +56,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents, one of them sent twice: all inserted with the count of
-    white-space words; all revised to the count of alphanumeric words; later copies of a text deleted.
+    """Three batches over all documents, one of them sent twice: all inserted with the counts of one
+    tokenizer; all revised to those of another; later copies of a text deleted.
     """
-    docs = _table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    facts = docs.select("doc_id", "source", "lang", F.regexp_count(text, F.lit(common.WORD)).alias("ws"), F.regexp_count(text, F.lit(common.ALNUM.replace("\\x60", "\\x40\\x5B-\\x60"))).alias("alnum"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    facts = common.materialize(facts, "rollup-facts")
-    store = token_rollup.Store(spark, common.scratch(spark, "rollup"))
-
-    def batch(op: str, version: str, count: str) -> DataFrame:
-        return facts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), F.col(count).alias("n_tokens"))
+    import public_tokenizers
 
-    shared = facts.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    docs = _table(spark, sf_dir, "documents")
+    one = common.materialize(token_rollup.counted(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "rollup-one")
+    two = common.materialize(token_rollup.counted(docs, public_tokenizers.path("byte_bpe_50k.json")), "rollup-two")
+    shared = one.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    copies = facts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["digest", "salt"]).where("doc_id <> keep")
-    gone = copies.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("alnum-1").alias("version"), F.lit(0).alias("n_tokens"))
-    store.commit("1-insert", batch("insert", "words-1", "ws"))
-    store.commit("2-revise", batch("revise", "alnum-1", "alnum"))
-    store.commit("3-delete", gone)
-    store.commit("2-revise", batch("revise", "alnum-1", "alnum"))
+    copies = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["digest", "salt"]).where("doc_id <> keep")
+    store = token_rollup.Store(spark, common.scratch(spark, "rollup"))
+    revision = two.withColumn("op", F.lit("revise"))
+    store.commit("1-insert", one.withColumn("op", F.lit("insert")))
+    store.commit("2-revise", revision)
+    store.commit("3-delete", copies.withColumn("op", F.lit("delete")))
+    store.commit("2-revise", revision)
     return store.totals()
 
 

@@ -61,6 +61,59 @@ def test_mix_meets_targets_and_never_exceeds_three_laps(spark, odd, empty):
     assert {k: v for k, v in begun.items() if v} == {k: sum(n for (d, s, _), n in count.items() if (d, s) == k) for k in {(d, s) for d, s, _ in count}}
 
 
+def brute_taken(placed, slots, epochs=3):
+    """Words taken of each row by laying out each source lap by lap, slot by slot; ``placed``: (key, source, size, order)."""
+    names = sorted({s for _, s, _, _ in placed if s is not None}) + ([None] if any(s is None for _, s, _, _ in placed) else [])
+    sizes = [sum(n for _, s, n, _ in placed if s == name) for name in names]
+    want = M.targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], epochs)
+    largest = max(1, -(-sum(sizes) // slots))
+    block = [max(1, min(largest, int(t // M.SERVED))) for t in want]
+    share = [max(3.0, t / b) if t > 0 else 0.0 for t, b in zip(want, block)]
+    count = int(np.ceil(sum(share)))
+    edges, at = [], 0.0
+    for x in share[:-1]:
+        at += x
+        edges.append(min(2**64 - 1, int(at / sum(share) * 2**64)))
+    given = [0] * len(names)
+    for k in range(1, count + 1):
+        point = k * M.GOLDEN % 2**64
+        given[sum(point >= e for e in edges)] += 1
+    out = {}
+    for name, words, n in zip(names, block, given):
+        room = n * words
+        rows = sorted((order, key, size) for key, s, size, order in placed if s == name)
+        for _, key, _ in rows:
+            out[key] = 0
+        for _ in range(epochs):
+            for _, key, size in rows:
+                use = min(size, room)
+                out[key] += use
+                room -= use
+    return out
+
+
+@pytest.mark.parametrize("slots", [50, 1000, 1 << 20])
+def test_taken_is_what_a_plain_layout_takes(spark, odd, slots):
+    extra = spark.createDataFrame([(5000 + k, "w " * (k % 50), f"t{k % 5}") for k in range(300)], "doc_id long, text string, source string")
+    docs = odd.select("doc_id", "text", "source").unionByName(extra)
+    rows = M.taken(docs, slots=slots).collect()
+    buckets = 1 << max(4, (len(rows) // 2048).bit_length())
+    keyed = spark.createDataFrame([(k, r.doc_id, r["__hash"], r["__copy"]) for k, r in enumerate(rows)], "k int, d long, h long, c int")
+    order = {x.k: x.o for x in keyed.select("k", F.xxhash64(F.lit(7), "d", "h", "c").alias("o")).collect()}
+    placed = [(k, r.source, r.size, (order[k] % buckets, order[k], r.doc_id or -1, r["__hash"], r["__copy"])) for k, r in enumerate(rows)]
+    want = brute_taken(placed, slots)
+    assert {k: r.taken for k, r in enumerate(rows)} == want
+
+
+def test_mix_leaves_any_column_alone(spark):
+    names = ["__size", "__hash", "__copy", "__copies", "__lap", "__k0", "k0", "row", "copies", "col", "target", "six", "slot"]
+    rows = [(k // 2, "one two three", "s", 77 + k, *range(len(names) - 1), {"a": k}) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names) + ", m map<string,int>")
+    got = sorted(map(repr, M.mix(df).collect()))
+    assert M.mix(df).columns == df.columns and set(got) == set(map(repr, df.collect())) and len(got) >= 20
+    assert got == sorted(map(repr, M.mix(df.repartition(5)).collect()))
+
+
 def test_each_slot_is_filled_once(spark, odd):
     _, spans = M.plan(odd, slots=200)
     used = spans.where("slot is not null").groupBy("slot").agg(F.countDistinct("source", "block").alias("n"), F.sum(F.col("end") - F.col("start")).alias("words"))
@@ -101,8 +154,9 @@ def brute_lines(rows):
     first: dict = {}
     for d, n, w in lines:
         first.setdefault(w, (d, n))
-    long = [(w, p) for w, p in first.items() if len(w) >= L.MIN_WORDS]
-    near = {w for w, p in long for v, q in long if q < p and abs(len(w) - len(v)) < 2 and edits(w, v) <= 1}
+    long = [(w, w, p) for w, p in first.items() if len(w) >= 5]
+    short = [(w, " ".join(w), p) for w, p in first.items() if len(w) < 5 and len(" ".join(w)) >= 5]
+    near = {w for some in (long, short) for w, x, p in some for _, y, q in some if q < p and abs(len(x) - len(y)) < 2 and edits(x, y) <= 1}
     return {(d, n): "exact" if first[w] != (d, n) else "near" if w in near else None for d, n, w in lines}
 
 
@@ -119,6 +173,12 @@ def test_lines_dropped_are_those_of_all_pairs(spark, empty):
                 for _ in range(r.randint(0, 2)):
                     k = r.randrange(len(line))
                     line[k : k + r.randint(0, 1)] = [r.choice(vocabulary)] * r.randint(0, 1)
+            if r.random() < 0.4:
+                line = list(r.choice(["Kapitel ä1", "menu", "a b", "all rights", "x 😀😀 yz"]))
+                for _ in range(r.randint(0, 2)):
+                    k = r.randrange(len(line))
+                    line[k : k + r.randint(0, 1)] = [r.choice("ab é😀")] * r.randint(0, 1)
+                line = "".join(line).split()
             lines.append(r.choice(["", " "]) + r.choice([" ", "  "]).join(line))
         rows.append((d, "\n".join(lines) if d % 17 else None))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -133,6 +193,18 @@ def test_lines_dropped_are_those_of_all_pairs(spark, empty):
     assert L.report(empty).count() == 0 and L.dedupe(empty).count() == 0
 
 
+def test_lines_of_any_length_and_null_ids(spark):
+    rows = [(2, "page 12\npage 13\nab\nac"), (1, "page 11\nab\n" + "w " * 70_000 + "end"), (None, "page 1\nnew line here"), (3, "w " * 70_000 + "fin"), (None, "page 1\nnew line here"), (1, "page 1x")]
+    names = ["own", "mine", "gone", "row", "lines", "twin", "__gone", "doc"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = L.dedupe(df)
+    assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
+    got = sorted((r.doc_id or 99, r.text[:30]) for r in out.collect())
+    first = [t for d, t in got if d == 1]
+    assert sorted(t[:7] for t in first) in (["page 11", "page 1x"], ["ab\nw w ", "page 1x"], ["", "page 11"])  # the two texts of id 1: one page line stays
+    assert [t for d, t in got if d == 2] == ["ac"] and [t for d, t in got if d == 3] == [""] and [t for d, t in got if d == 99] == ["new line here"] * 2
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = L.dedupe(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -177,13 +249,64 @@ def test_rollup_follows_any_history(spark):
     assert R.Store(spark, store.folder).committed() == [f"b{b}" for b in range(5)]
 
 
-def test_rollup_redoes_a_batch_that_stopped_half_way(spark):
+def test_rollup_ignores_what_has_no_mark(spark):
     store = R.Store(spark, common.scratch(spark, "roll"))
     rows = changes(spark, [("insert", 1, "s", "en", "v", 5)])
-    rows.selectExpr("1L as doc_id", "source", "lang", "version", "1L as docs", "99L as tokens").write.parquet(f"{store.folder}/ledger/a")  # moved, never marked
+    lost = rows.selectExpr("doc_id", "source", "lang", "version", "1L as docs", "99L as tokens")
+    store._write("a-lost", lost)  # written, never marked
     assert store.totals().count() == 0 and store.commit("a", rows)
     assert [tuple(x) for x in store.totals().collect()] == [("s", "en", "v", 1, 5)]
     assert store.commit("nothing", rows.limit(0)) and store.totals().count() == 1
+    assert not store._claim("commits/a", "a-lost") and store.totals().first().n_tokens == 5  # a second writer
+
+
+def test_compaction_changes_no_total(spark):
+    store = R.Store(spark, common.scratch(spark, "roll"))
+    batches = [[("insert", k, f"s{k % 2}", "en", "v", k) for k in range(20)], [("revise", 3, "s1", "en", "w", 50)], [("delete", 4, None, None, None, None), ("insert", None, "s0", None, "v", 1)]]
+    for k, rows in enumerate(batches):
+        store.commit(f"b{k}", changes(spark, rows))
+    before, held = sorted(map(repr, store.totals().collect())), sorted(map(repr, store.state().collect()))
+    for _ in range(2):
+        store.compact()
+        assert len(store._folders()) == 1 and store.committed() == ["b0", "b1", "b2"]
+        assert sorted(map(repr, store.totals().collect())) == before and sorted(map(repr, store.state().collect())) == held
+    assert not store.commit("b1", changes(spark, batches[1]))
+    assert store.commit("b3", changes(spark, [("delete", 3, None, None, None, None)]))
+    assert {(r.source, r.lang, r.version, r.n_docs) for r in store.totals().collect()} == {("s0", "en", "v", 9), ("s1", "en", "v", 9), ("s0", None, "v", 1)}
+    assert len(store._folders()) == 2
+
+
+def test_registered_rollup_is_a_recount(spark, odd, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    from quarry.llm.queries import QUERIES
+
+    rows = [r for r in odd.collect() if r.doc_id is not None and r.doc_id != 7]
+    spark.createDataFrame(rows, odd.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first: dict = {}
+    for r in rows:
+        first[r.text or ""] = min(first.get(r.text or "", r.doc_id), r.doc_id)
+    want: dict = {}
+    for r in rows:
+        if first[r.text or ""] == r.doc_id:
+            a = want.setdefault((r.source, r.lang), [0, 0])
+            a[0] += 1
+            a[1] += len(t.encode(r.text or "", add_special_tokens=False).ids)
+    got = QUERIES["op9_token_rollup"](spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got} == want
+    assert {r.version for r in got} == {R.version_of(public_tokenizers.path("byte_bpe_50k.json"))}
+
+
+def test_counts_of_both_kinds_of_file(spark, odd):
+    import public_tokenizers
+    import tiktoken
+
+    coder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks={__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}, special_tokens={})
+    got = R.counted(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    want = sorted((r.doc_id is None, r.doc_id or 0, len(coder.encode_ordinary(r.text or ""))) for r in odd.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == want
 
 
 def test_classifier_learns_and_keeps_to_its_bounds(spark, odd, empty):
