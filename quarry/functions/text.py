@@ -69,7 +69,17 @@ def window(lines: Column, line: Column, context: int) -> Column:
     return F.array_join(F.slice(lines, first, F.least(line + context, F.size(lines)) - first + 1), "\n")
 
 
-def offset(starts: Column, line: Column, col: Column, size: Column) -> Column:
-    """Byte offset of a position; null for a line that the file doesn't have; columns below 1 count as 1."""
-    start = F.get(starts, line - 1)
-    return F.when((line >= 1) & start.isNotNull(), F.least(start + F.greatest(col, F.lit(1)) - 1, size))
+def offset(lines: Column, line: Column, col: Column) -> Column:
+    """Byte offset of a position in a text of these lines, clamped to it; null for a line that it doesn't have.
+
+    Columns below 1 count as 1.  Only the text before the line and its end are measured, once.
+    """
+    before = F.when(line > 1, F.octet_length(F.array_join(F.slice(lines, 1, F.greatest(line - 1, F.lit(0))), "\n")) + 1).otherwise(0)
+    size = F.octet_length(F.array_join(lines, "\n"))
+    return F.when((line >= 1) & (line <= F.size(lines)), F.least(before + F.greatest(col, F.lit(1)) - 1, size))
+
+
+def absolute(path: Column, root: str) -> Column:
+    """A relative path below ``root``; an absolute one unchanged."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+

@@ -29,7 +29,7 @@ SCHEMAS = {
     "call_edges": "caller string, callee string, file string, line int, col int, dispatch string",
     "dyn_sites": "caller string, iface_type_id string, method string, signature string, file string, line int, col int",
     "instantiations": "fn string, type_id string",
-    "func_values": "fn string, signature string",
+    "func_values": "taker string, fn string, signature string",
     "func_sites": "caller string, signature string, file string, line int, col int",
     "diagnostics": "analyzer string, severity string, file string, line int, col int, message string, category string",
     "fs_events": "ts timestamp, path string, op string",

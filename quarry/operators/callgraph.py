@@ -14,60 +14,106 @@ from .implements import implementers
 EDGE = ("caller", "callee", "file", "line", "col")
 ORDER = ("callee", "caller", "file", "line", "col")
 ROOT = "<root>"
+COMPACT = 8  # rounds after which the tables of earlier ones are made one
 
 
-def dynamic_edges(facts: dict[str, DataFrame], types: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
-    """Edges of interface calls: site's interface, its implementers (all, or of ``types``), their methods."""
-    sites = facts["dyn_sites"] if sites is None else sites
-    concrete = facts["named_types"] if types is None else facts["named_types"].join(types.select("type_id").distinct(), "type_id", "left_semi")
-    asked = sites.select(F.col("iface_type_id").alias("type_id")).distinct()
-    found = implementers(facts["method_sets"], facts["iface_methods"], concrete, asked)
+def targets(facts: dict[str, DataFrame]) -> DataFrame:
+    """iface_type_id, method, signature, type_id, callee: what each interface method that is called may run, by type."""
+    asked = facts["dyn_sites"].select("iface_type_id", "method", "signature").distinct()
+    found = implementers(facts["method_sets"], facts["iface_methods"], facts["named_types"], asked.select(F.col("iface_type_id").alias("type_id")))
     methods = facts["method_sets"].select("type_id", F.col("name").alias("method"), "signature", F.col("fn_qname").alias("callee"))
-    joined = sites.join(found, F.col("iface_type_id") == F.col("iface")).join(methods, ["type_id", "method", "signature"])
-    return joined.select(*EDGE).distinct()
+    return asked.join(found.withColumnRenamed("iface", "iface_type_id"), "iface_type_id").join(methods, ["type_id", "method", "signature"]).distinct()
+
+
+def dynamic_edges(sites: DataFrame, runs: DataFrame) -> DataFrame:
+    """Edges of interface calls: the methods that ``runs`` (of ``targets``) gives for each site."""
+    return sites.join(runs, ["iface_type_id", "method", "signature"]).select(*EDGE).distinct()
 
 
 def static_edges(facts: dict[str, DataFrame]) -> DataFrame:
-    """Direct calls, and function values: each such site may call any function of its list."""
+    """Direct calls."""
     return facts["call_edges"].select(F.coalesce("caller", F.lit(ROOT)).alias("caller"), "callee", "file", "line", "col").distinct()
 
 
+def value_edges(sites: DataFrame, values: DataFrame) -> DataFrame:
+    """Calls of function values: each site may call any function of its signature that is taken as a value."""
+    return sites.join(values.select("signature", F.col("fn").alias("callee")).distinct(), "signature").select(F.coalesce("caller", F.lit(ROOT)).alias("caller"), "callee", "file", "line", "col").distinct()
+
+
 def cha(facts: dict[str, DataFrame]) -> DataFrame:
-    """All edges: static ones and those of every type that satisfies the interface called."""
-    return static_edges(facts).unionByName(dynamic_edges(facts)).distinct()
+    """All edges: static ones, those of every type that satisfies the interface called, and of every function value."""
+    return static_edges(facts).unionByName(dynamic_edges(facts["dyn_sites"], targets(facts))).unionByName(value_edges(facts["func_sites"], facts["func_values"])).distinct()
 
 
 def rta(facts: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, reachable functions) from ``entries`` (node).
 
-    A double fixpoint: reachable functions instantiate types, instantiated types give interface calls
-    their targets.  Each round looks at new functions and new types only, and writes its gain.
+    A fixpoint over three gains: reachable functions instantiate types and take function values;
+    instantiated types give interface calls their targets; taken values give calls of values theirs.
+    What doesn't change (edges, sites, targets) is written once; each round joins it with new functions,
+    types and values only, and writes its gain.  Values taken outside functions count from the start.
     """
-    static, sites = static_edges(facts), facts["dyn_sites"]
-    functions = [keep(entries.select("node").distinct(), "rta-fn")]
-    spark = entries.sparkSession
-    types = [spark.createDataFrame([], "type_id string")]
-    dynamic = [spark.createDataFrame([], ", ".join(f"{c} {'string' if c in ('caller', 'callee', 'file') else 'int'}" for c in EDGE))]
-    fresh = functions[0]
+    static, sites, runs = keep(static_edges(facts), "rta-static"), keep(facts["dyn_sites"], "rta-sites"), keep(targets(facts), "rta-targets")
+    calls, values, made = keep(facts["func_sites"], "rta-calls"), keep(facts["func_values"].distinct(), "rta-values"), keep(facts["instantiations"].distinct(), "rta-made")
+    has = {name: not df.isEmpty() for name, df in (("sites", runs), ("calls", calls))}
+    fresh = keep(entries.select("node").distinct(), "rta-fn")
+    functions, types, taken, gains = [fresh], [], [], []
+
+    def of(df: DataFrame, nodes: DataFrame, key: str = "caller") -> DataFrame:
+        return df.join(nodes, F.col(key) == F.col("node"), "left_semi")
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
     while True:
-        known = reduce(DataFrame.unionByName, functions)
-        seen_types = reduce(DataFrame.unionByName, types)
-        made = facts["instantiations"].join(fresh, F.col("fn") == F.col("node"), "left_semi").select("type_id").distinct()
-        new_types = keep(made.join(seen_types, "type_id", "left_anti"), "rta-type")
-        types.append(new_types)
-        new_sites = sites.join(fresh, F.col("caller") == F.col("node"), "left_semi")
-        old_sites = sites.join(known, F.col("caller") == F.col("node"), "left_semi").join(fresh, F.col("caller") == F.col("node"), "left_anti")
-        gained = dynamic_edges(facts, reduce(DataFrame.unionByName, types), new_sites).unionByName(dynamic_edges(facts, new_types, old_sites))
-        gained = keep(gained.distinct(), "rta-edge")
-        dynamic.append(gained)
-        direct = static.join(fresh, F.col("caller") == F.col("node"), "left_semi").select(F.col("callee").alias("node"))
-        fresh = keep(direct.unionByName(gained.select(F.col("callee").alias("node"))).distinct().join(known, "node", "left_anti"), "rta-fn")
+        before = functions[:-1]
+        gain = []
+        if has["sites"]:
+            new_types = of(made, fresh, "fn").select("type_id").distinct()
+            new_types = keep(new_types.join(union(types), "type_id", "left_anti") if types else new_types, "rta-type")
+            types.append(new_types)
+            gain.append(dynamic_edges(of(sites, fresh), runs.join(union(types), "type_id", "left_semi")))
+            if before:
+                gain.append(dynamic_edges(of(sites, union(before)), runs.join(new_types, "type_id", "left_semi")))
+        if has["calls"]:
+            new_values = of(values, fresh, "taker")
+            new_values = keep(new_values if taken else new_values.unionByName(values.where("taker is null")), "rta-value")
+            taken.append(new_values)
+            gain.append(value_edges(of(calls, fresh), union(taken)))
+            if before:
+                gain.append(value_edges(of(calls, union(before)), new_values))
+        direct = of(static, fresh).select(F.col("callee").alias("node"))
+        if gain:
+            gained = keep(union(gain).distinct(), "rta-edge")
+            gains.append(gained)
+            direct = direct.unionByName(gained.select(F.col("callee").alias("node")))
+        fresh = keep(direct.distinct().join(union(functions), "node", "left_anti"), "rta-fn")
         if fresh.isEmpty():
             break
         functions.append(fresh)
-    reached = reduce(DataFrame.unionByName, functions)
-    edges = static.join(reached, F.col("caller") == F.col("node"), "left_semi").unionByName(reduce(DataFrame.unionByName, dynamic)).distinct()
-    return edges, reached
+        for parts, name in ((functions, "rta-fn"), (types, "rta-type"), (taken, "rta-value")):
+            if len(parts) > COMPACT:  # the newest stays apart: it is the frontier
+                parts[:-1] = [keep(union(parts[:-1]), name)]
+    reached = union(functions)
+    edges = of(static, reached)
+    return (edges.unionByName(union(gains)) if gains else edges).distinct(), reached
+
+
+def functions_by_qname(functions: DataFrame) -> DataFrame:
+    """qname, n, fn_ids: the functions of each qualified name (variants of a package's build), synthetic ones left out."""
+    rows = functions.where(~F.col("synthetic")).select("qname", "fn_id").distinct()
+    return rows.groupBy("qname").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("fn_id")).alias("fn_ids"))
+
+
+def edges_of_variants(functions: DataFrame, edges: DataFrame, qname: str) -> DataFrame:
+    """Edges from any variant of a function: the union over its fn_ids, each edge once."""
+    own = functions.where((F.col("qname") == qname) & ~F.col("synthetic")).select(F.col("fn_id").alias("caller")).distinct()
+    return edges.join(own, "caller", "left_semi").select("callee", "file", "line", "col").distinct()
+
+
+def missing_entries(functions: DataFrame, entries: DataFrame) -> DataFrame:
+    """The asked entry points (node) that are no function of the graph."""
+    return entries.join(functions.select(F.col("qname").alias("node")).distinct(), "node", "left_anti")
 
 
 def callers(edges: DataFrame, qname: str) -> DataFrame:
@@ -85,18 +131,22 @@ def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None
 
 
 def trace(edges: DataFrame, target: str, entries: list[str]) -> list[dict]:
-    """Shortest call path from the first entry that has one to the target, as edges; empty if there is none."""
+    """Shortest call path from the first entry that has one to the target, as edges; empty if there is none.
+
+    One search backwards from the target tells which entries have a path; one search forwards from the
+    first of them, among the functions that the first search saw, finds it.
+    """
     spark = edges.sparkSession
-    links = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "file", "line", "col")
+    links = keep(edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "file", "line", "col"), "trace-links")
     aim = spark.createDataFrame([(target,)], "node string")
-    for entry in entries:
-        reached = fixpoint.reach(links, spark.createDataFrame([(entry,)], "node string"), stop=aim)
-        if entry == target:
-            return []
-        path = fixpoint.path_to(reached, aim)
-        if path:
-            return [{"caller": p["src"], "callee": p["dst"], "file": p["file"], "line": p["line"], "col": p["col"]} for p in path]
-    return []
+    asked = spark.createDataFrame([(e, k) for k, e in enumerate(entries)], "node string, ordinal int")
+    back = fixpoint.reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), aim, stop=asked.where("ordinal = 0"), kept=True).select("node")
+    first = asked.join(back, "node", "left_semi").orderBy("ordinal").first()
+    if first is None or first.node == target:
+        return []
+    inner = links.join(back.select(F.col("node").alias("src")), "src", "left_semi")
+    reached = fixpoint.reach(inner, spark.createDataFrame([(first.node,)], "node string"), stop=aim)
+    return [{"caller": p["src"], "callee": p["dst"], "file": p["file"], "line": p["line"], "col": p["col"]} for p in fixpoint.path_to(reached, aim)]
 
 
 def import_closure(imports: DataFrame, roots: DataFrame) -> DataFrame:

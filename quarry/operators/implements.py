@@ -11,16 +11,21 @@ from ..functions import globs
 def implementers(method_sets: DataFrame, iface_methods: DataFrame, types: DataFrame, interfaces: DataFrame) -> DataFrame:
     """iface (type_id), type_id: concrete types whose value or pointer method set has all methods.
 
-    Count form of division: distinct matched methods of (interface, type) against the required number.
-    The pointer's method set holds the value's, so one count of the union decides.  Interfaces without
-    methods are satisfied by every concrete type.
+    Candidates of an interface are the types that have its rarest method; the other methods are checked
+    on those, and the matches are counted against the required number.  So what is joined follows the
+    rarest methods, not the common ones.  The pointer's method set holds the value's, so one count of the
+    union decides.  Interfaces without methods are satisfied by every concrete type.
     """
     wanted = iface_methods.join(interfaces.select("type_id").distinct(), "type_id", "left_semi").select(F.col("type_id").alias("iface"), "name", "signature").distinct()
     need = wanted.groupBy("iface").agg(F.count("*").alias("need"))
     own = method_sets.select("type_id", "name", "signature").distinct()
     concrete = types.where(~F.col("is_interface")).select("type_id").distinct()
-    met = own.join(wanted, ["name", "signature"]).groupBy("iface", "type_id").agg(F.count("*").alias("got"))
-    full = met.join(need, "iface").where("got = need").select("iface", "type_id").join(concrete, "type_id", "left_semi")
+    own = own.join(wanted.select("name", "signature").distinct(), ["name", "signature"], "left_semi").join(concrete, "type_id", "left_semi")
+    held = wanted.join(own.groupBy("name", "signature").agg(F.count("*").alias("types")), ["name", "signature"], "left")
+    rarest = held.groupBy("iface").agg(F.min(F.struct(F.coalesce("types", F.lit(0)).alias("types"), "name", "signature")).alias("r")).select("iface", "r.name", "r.signature")
+    candidates = own.join(rarest, ["name", "signature"]).select("iface", "type_id")
+    met = candidates.join(wanted, "iface").join(own, ["type_id", "name", "signature"], "left_semi").groupBy("iface", "type_id").agg(F.count("*").alias("got"))
+    full = met.join(need, "iface").where("got = need").select("iface", "type_id")
     free = interfaces.select(F.col("type_id").alias("iface")).distinct().join(need, "iface", "left_anti")
     return full.select("iface", "type_id").unionByName(free.crossJoin(concrete).select("iface", "type_id"))
 

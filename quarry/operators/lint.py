@@ -103,7 +103,10 @@ def banned_calls(nodes: DataFrame, banned: list[str], scopes: list[str]) -> Data
 
 @register("bannedinscope")
 def _banned(config: dict) -> Analyzer:
-    banned, scopes = strings(config, "banned"), strings(config, "scope")
+    unknown = sorted(set(config) - {"banned", "scope", "scope_packages"})
+    if unknown:
+        raise model.QueryError(f"bannedinscope: unknown key {unknown[0]!r}; known: banned, scope_packages (or scope)")
+    banned, scopes = strings(config, "banned"), strings(config, "scope_packages") + strings(config, "scope")
     if not banned:
         raise model.QueryError("bannedinscope: banned must name at least one call")
     return Analyzer("bannedinscope", lambda facts: banned_calls(facts["ast_nodes"], banned, scopes))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
@@ -21,8 +21,7 @@ def limited(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
     if limit <= 0:
         return rows.withColumn("truncated", F.lit(False))
     few = rows.orderBy(*order).limit(limit)
-    met = few.agg((F.count("*") >= limit).alias("truncated"))
-    return few.join(F.broadcast(met))  # one row
+    return few.withColumn("truncated", F.count("*").over(Window.partitionBy()) >= limit)  # of ``limit`` rows at most
 
 
 def definition_at(idents: DataFrame, symbols: DataFrame, points: DataFrame) -> DataFrame:

@@ -20,14 +20,16 @@ nodes as (select case when l_returnflag = 'R' then 'typeassert' else 'call' end
 edges as (select distinct * from (
    select 'c' || o_custkey as caller, 'p' || l_partkey as callee, 'o' || l_orderkey || '.go' as file, l_linenumber as line, l_quantity::int as col from lineitem join orders on l_orderkey = o_orderkey
    union all select 'p' || l_partkey, 's' || l_suppkey, 'o' || l_orderkey || '.go', l_linenumber, l_quantity::int from lineitem
-   union all select 's' || s_suppkey, 'c' || c_custkey, 'back.go', 1, 1 from supplier join customer on s_nationkey = c_nationkey and (s_suppkey + c_custkey) % 11 = 0)),
+   union all select 's' || s_suppkey, 'c' || c_custkey, 'back.go', 1, 1 from supplier join customer on c_custkey = s_suppkey * 13 or c_custkey = s_suppkey * 7 + 1)),
 links as (select distinct caller, callee from edges),
 types as (select 't' || c_custkey as type_id, pkg_path || '.T' || c_custkey as qname, pkg_path, 'types.go' as file, c_custkey::int as line, 6 as col, tier_rank, tier from customer join pkg on c_nationkey = pkg.load_order),
-msets as (select distinct 't' || o_custkey as type_id, p_type as name from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
-imethods as (select 'iface0' as iface, p_type as name from part union select 'iface1', p_type from part where p_type[1] in ('E', 'S') union select 'iface2', p_type from part where p_type = 'STANDARD'),
-ifaces as (select 'iface' || i as iface from range(4) t(i)),
+msets as (select distinct 't' || o_custkey as type_id, unnest([p_type, 'M' || l_partkey]) as name from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+imethods as (select 'iface0' as iface, p_type as name from part union select 'iface1', p_type from part where p_type[1] in ('E', 'S') union select 'iface2', p_type from part where p_type = 'STANDARD'
+   union select 'isup' || s_suppkey, unnest(case when s_suppkey % 2 = 0 then ['M' || (s_suppkey * 2), 'STANDARD'] else ['M' || (s_suppkey * 2)] end) from supplier),
+ifaces as (select 'iface' || i as iface from range(4) t(i) union all select 'isup' || s_suppkey from supplier),
 impl as (select iface, type_id from ifaces, types where not exists (select 1 from imethods m where m.iface = ifaces.iface and not exists (select 1 from msets s where s.type_id = types.type_id and s.name = m.name))),
-sites as (select 's' || s_suppkey as caller, case when s_suppkey % 100 = 0 then 'iface2' else 'iface1' end as iface, 'STANDARD' as method, 'dyn.go' as file, s_suppkey::int as line, 3 as col from supplier where s_suppkey % 50 = 0),
+sites as (select 's' || s_suppkey as caller, 'isup' || s_suppkey as iface, 'M' || (s_suppkey * 2) as method, 'dyn.go' as file, s_suppkey::int as line, 3 as col from supplier),
+vals as (select 's' || s_suppkey as caller, 'p' || c_custkey as callee, 'c' || c_custkey as taker, 'val.go' as file, s_suppkey::int as line, 9 as col from supplier join customer on c_custkey = s_suppkey * 3),
 dyn as (select distinct s.caller, '(' || i.type_id || ').' || s.method as callee, i.type_id, s.file, s.line, s.col from sites s join impl i using (iface) join msets m on m.type_id = i.type_id and m.name = s.method),
 lines as (select 'vendor/' || source || '/' || doc_id || '.txt' as path, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1)::int as line from documents),
 fields as (select pkg_path || '.Msg' || (p_partkey % 10) as struct_qname, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') as go_field,
@@ -64,7 +66,8 @@ def _rta(rounds: int, starts: str) -> str:
         out.append(
             f"t{k} as (select distinct 't' || (substr(node, 2)::bigint + 1) as type_id from f{k - 1} where node like 'c%'), "
             f"d{k} as (select dyn.* from dyn join t{k} using (type_id) where caller in (select node from f{k - 1})), "
-            f"f{k} as materialized (select node from f{k - 1} union select callee from links where caller in (select node from f{k - 1}) union select callee from d{k})"
+            f"v{k} as (select caller, callee, file, line, col from vals where taker in (select node from f{k - 1}) and caller in (select node from f{k - 1})), "
+            f"f{k} as materialized (select node from f{k - 1} union select callee from links where caller in (select node from f{k - 1}) union select callee from d{k} union select callee from v{k})"
         )
     return ", ".join(out)
 
@@ -89,12 +92,12 @@ ORACLE_SQL: dict[str, str] = {
     "refs_count": _sql("select qname, uses.tier_rank, count(*) as n from uses join sym using (obj_id) group by all"),
     "definition_at": _sql("""
 select p.file as at_file, p.line as at_line, p.c as at_col, arg_min(s.qname, w) as qname, arg_min(s.kind, w) as kind, arg_min(s.file, w) as file, arg_min(s.line, w) as line, arg_min(s.col, w) as col
-from (select distinct file, line, col + 2 as c from uses where line = 3) p
+from (select distinct file, line, col + 2 as c from uses) p
 join (select *, col + 2 + substr(obj_id, 2)::int % 9 as e, row(2 + substr(obj_id, 2)::int % 9, col, obj_id) as w from uses) i on i.file = p.file and i.line = p.line and i.col <= p.c and p.c < i.e
 join sym s on s.obj_id = i.obj_id group by 1, 2, 3"""),
     "implementations_all": _sql("select iface, type_id from impl"),
     "implements_structural": _sql("select qname, pkg_path, file, line, col from types where type_id in (select type_id from impl where iface = 'iface1') and starts_with(pkg_path, 'example.com/r1/')"),
-    "implements_indexed": _sql("select qname, 'type' as kind, pkg_path, file, line, tier from types where line % 3 = 0 and type_id in (select type_id from impl where iface = 'iface0') and tier_rank between 1 and 4"),
+    "implements_indexed": _sql("select qname, 'type' as kind, pkg_path, file, line, tier from types where type_id in (select type_id from impl where iface = 'iface0') and tier_rank between 1 and 4"),
     "ast_call": _sql("select qname, pkg_path, file, line, col from nodes where kind = 'call' and tier_rank = 4 and regexp_full_match(qname, 'm/.*\\.red .*') qualify row_number() over (partition by file, line, col order by pkg_path, visit_seq, qname) = 1"),
     "ast_call_nargs": _sql("select qname, pkg_path, file, line, col from nodes where kind = 'call' and n_args = 2 and starts_with(qname, 'm/2') and starts_with(pkg_path, 'example.com/') qualify row_number() over (partition by file, line, col order by pkg_path, visit_seq, qname) = 1"),
     "ast_conv": _sql("""
@@ -116,10 +119,20 @@ near as (select node, min(depth) as depth from level group by node),
 parents as (select e.callee as node, min(row(e.caller, e.file, e.line, e.col)) as p from edges e join near a on a.node = e.caller join near b on b.node = e.callee and b.depth = a.depth + 1 group by e.callee),
 walk as (select n.depth as d, n.node, p.p from near n join parents p using (node) where n.node = 's33' union all select walk.d - 1, parents.node, parents.p from walk join parents on parents.node = walk.p[1] where walk.d > 1)
 select (d - 1)::int as step, p[1] as caller, node as callee, p[2] as file, p[3] as line, p[4] as col from walk""", True),
-    "cha_edges": _sql("select caller, count(*) as n, count(distinct callee) as callees from (select caller, callee, file, line, col from edges union select caller, callee, file, line, col from dyn) group by caller"),
+    "cha_edges": _sql("select caller, count(*) as n, count(distinct callee) as callees from (select caller, callee, file, line, col from edges union select caller, callee, file, line, col from dyn union select caller, callee, file, line, col from vals) group by caller"),
     "rta_reachable": _sql(_rta(14, "select 'c1' as node") + " select node from f14"),
-    "rta_edges": _sql(_rta(14, "select unnest(['s0', 's50']) as node") + " select caller, count(*) as n from (select caller, callee, file, line, col from edges where caller in (select node from f14) union select caller, callee, file, line, col from d14) group by caller"),
+    "rta_edges": _sql(_rta(14, "select unnest(['s0', 's50']) as node") + " select caller, count(*) as n from (select caller, callee, file, line, col from edges where caller in (select node from f14) union select caller, callee, file, line, col from d14 union select * from v14) group by caller"),
     "rta_missing": _sql("select node from (select unnest(['c1', 'zz']) as node) where node not in (select caller from edges union select callee from edges)"),
+    "fn_variants": _sql("select qname, count(*) as n, string_agg(obj_id, ',' order by obj_id) as fn_ids from sym where load_order % 11 <> 0 group by qname"),
+    "fn_variant_edges": _sql("select distinct callee, file, line, col from edges where caller in (select obj_id from sym where qname = 'm/3.red widget' and load_order % 11 <> 0)"),
+    "value_edges": _sql("select caller, callee, file, line, col from vals"),
+    "root_edges": _sql("select distinct '<root>' as caller, callee, file, line, col from edges where starts_with(caller, 's')"),
+    "exported_fields": _sql("select obj_id, regexp_matches(go_field, '^[A-Z]') as upper, false as lower from fields"),
+    "ref_texts": _sql("select obj_id, count(*) || ' reference(s)' || chr(10) || string_agg(file || ':' || line || ':' || col, chr(10) order by file, line, col) as text from uses group by obj_id"),
+    "edge_texts": _sql("select caller || ' -> ' || callee || '  ' || file || ':' || line || ':' || col as text from edges where callee = 'p42'"),
+    "absolute_path": _sql("select obj_id, case when line % 2 = 0 then '/' || file else '/src/app/' || file end as path from sym"),
+    "watch_folders": "select distinct unnest(['.', case event_type when 'view' then 'docs' when 'click' then 'pkg' when 'error' then 'pkg' else '.' end]) as folder from events where event_id % 7 = 1",
+    "tree_changes": "select source || '/' || doc_id as path, case when doc_id % 3 = 0 then 'create' when doc_id % 5 = 0 then 'remove' else 'write' end as op from documents where (doc_id % 3 = 0) <> (doc_id % 5 = 0) or (doc_id % 3 <> 0 and doc_id % 5 <> 0 and doc_id % 7 = 0)",
     "import_closure": _sql("reach(pkg_path, depth) as (select pkg_path, 0 from pkg where load_order = 2 union select dst_pkg, depth + 1 from reach join imports on src_pkg = pkg_path where depth < 25) select pkg_path, min(depth)::int as depth from reach group by pkg_path", True),
     "cite_split": _sql("select citation, path, line from citations"),
     "cite_line": _sql("select citation, pattern, file, line, text as line_text from resolved join lines on file = path and resolved.line = lines.line") .replace("select citation, pattern, file, line, text", "select citation, pattern, file, resolved.line, text"),
@@ -139,7 +152,7 @@ from (select p_partkey, ['a/../b', '../a', '/a', 'a/./b/../../c', 'a/../../b', '
     "split_list": "select p_partkey, p_name || '|' || p_type as items from part",
     "strip_names": _sql("select obj_id, '(*' || qname || ').M' as qname, pkg_path from sym"),
     "qualify_names": _sql("select obj_id, case when kind = 'method' then '(' || case when line % 2 = 0 then '*' else '' end || pkg_path || '.T' || line || ').' || replace(sname, ' ', '_') else pkg_path || '.' || replace(sname, ' ', '_') end as qname from sym"),
-    "hit_texts": _sql("select obj_id, file || ':' || line || '  [' || tier || ' ' || kind || ']  ' || qname as hit, file || ':' || line || ':' || col as at from sym where tier_rank = 4"),
+    "hit_texts": _sql("select obj_id, file || ':' || line || '  [' || tier || ' ' || kind || ']  ' || qname as hit, file || ':' || line || ':' || col as at from sym"),
     "proto_fields": _sql("select proto_message, proto_field, go_field, pkg_path, struct_qname, field_qname from pfields"),
     "proto_field": _sql("select proto_message, proto_field, arg_min(field_qname, load_order) as field_qname, arg_min(obj_id, load_order) as obj_id from pfields where starts_with(pkg_path, 'example.com/r0/') group by 1, 2"),
     "proto_xref": _sql("select distinct file, line, col from uses where tier_rank = 4 and obj_id = (select arg_min(obj_id, load_order) from pfields where proto_message = 'Msg0' and proto_field = 'red_widget')"),

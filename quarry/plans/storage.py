@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quarry-plans-")
         atexit.register(shutil.rmtree, own, True)
@@ -23,11 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back; on a mounted file system the table goes when the driver ends."""
+def keep(df: DataFrame, name: str, *partitioned: str) -> DataFrame:
+    """``df`` written once (partitioned on request) and read back; its folder goes when the driver's file system closes."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, "/" + path[5:].lstrip("/"), True)
-    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    path = f"{folder}/rows"
+    df.write.partitionBy(*partitioned).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

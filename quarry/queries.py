@@ -129,7 +129,7 @@ REF_TARGET = "m/3.red widget"
 
 @query
 def definition_at(d):
-    points = d["uses"].where("line = 3").select("file", "line", (F.col("col") + 2).alias("col")).distinct()
+    points = d["uses"].select("file", "line", (F.col("col") + 2).alias("col")).distinct()
     out = references.definition_at(d["idents"], d["symbols"], points)
     return out.select("at_file", "at_line", "at_col", "qname", "kind", "file", "line", "col")
 
@@ -148,8 +148,8 @@ def implements_structural(d):
 
 @query
 def implements_indexed(d):
-    """Types that satisfy, by way of the symbol table: every third type is in it."""
-    t = d["named_types"].where("not is_interface and line % 3 = 0")
+    """Types that satisfy, by way of the symbol table of all types."""
+    t = d["named_types"].where("not is_interface")
     d["symbols"] = t.select(F.col("type_id").alias("obj_id"), F.lit("type").alias("kind"), "qname", F.substring_index("qname", ".", -1).alias("sname"), "pkg_path", "file", "line", "col", globs.tier_label(F.col("tier_rank")).alias("tier"), "tier_rank", F.col("line").alias("load_order"))
     return implements.implementations(d, "example.com/r0/n0.I0", scope="all")
 
@@ -244,8 +244,71 @@ def rta_edges(d):
 def rta_missing(d):
     """Entry points that aren't functions of the graph."""
     asked = d.spark.createDataFrame([("c1",), ("zz",)], "node string")
-    known = callgraph.static_edges(d).select(F.explode(F.array("caller", "callee")).alias("node")).distinct()
-    return asked.join(known, "node", "left_anti")
+    known = callgraph.static_edges(d).select(F.explode(F.array("caller", "callee")).alias("qname"))
+    return callgraph.missing_entries(known, asked)
+
+
+@query
+def fn_variants(d):
+    """Functions by qualified name."""
+    return callgraph.functions_by_qname(d["functions"]).select("qname", "n", F.array_join("fn_ids", ",").alias("fn_ids"))
+
+
+@query
+def fn_variant_edges(d):
+    """What the variants of one function call, each edge once."""
+    return callgraph.edges_of_variants(d["functions"], callgraph.static_edges(d), "m/3.red widget")
+
+
+@query
+def value_edges(d):
+    """Calls of function values, before any reachability."""
+    return callgraph.value_edges(d["func_sites"], d["func_values"])
+
+
+@query
+def root_edges(d):
+    """Edges of calls outside functions: those of the synthetic root."""
+    calls = d["call_edges"].withColumn("caller", F.when(~F.col("caller").startswith("s"), F.col("caller")))
+    return callgraph.static_edges({"call_edges": calls}).where(F.col("caller") == callgraph.ROOT).select("caller", "callee", "file", "line", "col")
+
+
+@query
+def exported_fields(d):
+    f = d["struct_fields"]
+    return f.select("obj_id", names.exported(F.col("go_field")).alias("upper"), names.exported(F.lower("go_field")).alias("lower"))
+
+
+@query
+def ref_texts(d):
+    """The text of each symbol's list of references."""
+    return d["uses"].groupBy("obj_id").agg(formats.place_list(F.col("file"), F.col("line"), F.col("col")).alias("text"))
+
+
+@query
+def edge_texts(d):
+    e = callgraph.static_edges(d)
+    return e.where("callee = 'p42'").select(formats.edge(*(F.col(c) for c in callgraph.EDGE)).alias("text"))
+
+
+@query
+def absolute_path(d):
+    p = d["symbols"].select("obj_id", F.when(F.col("line") % 2 == 0, F.concat(F.lit("/"), "file")).otherwise(F.col("file")).alias("file"))
+    return p.select("obj_id", T.absolute(F.col("file"), "/src/app/").alias("path"))
+
+
+@query
+def watch_folders(d):
+    return reload.folders(d["fs_events"].where("op = 'create'").select("path").distinct())
+
+
+@query
+def tree_changes(d):
+    """Changes between two listings of the documents: some removed, some new, some longer."""
+    doc = d.table("documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("t"), F.octet_length("text").cast("long").alias("n"))
+    before = doc.where("doc_id % 3 <> 0").select("path", "t", "n")
+    after = doc.where("doc_id % 5 <> 0").select("path", "t", F.when(F.col("doc_id") % 7 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("n"))
+    return reload.tree_changes(before, after).select("path", "op")
 
 
 @query
@@ -270,12 +333,12 @@ def citations_of(d):
 
 @query
 def cite_line(d):
-    return citations.resolve(citations_of(d), d["file_lines"], PATTERNS).select("citation", "pattern", "file", "line", "line_text")
+    return citations.resolve(citations_of(d), d["texts"], PATTERNS).select("citation", "pattern", "file", "line", "line_text")
 
 
 @query
 def cite_context(d):
-    return citations.resolve(citations_of(d), d["file_lines"], PATTERNS, 2).select("citation", "context", "context_line")
+    return citations.resolve(citations_of(d), d["texts"], PATTERNS, 2).select("citation", "context", "context_line")
 
 
 @query
@@ -288,9 +351,8 @@ def line_window(d):
 @query
 def position_offset(d):
     """Byte offsets of (line, 4) in every text, clamped to it."""
-    doc = d.table("documents").select("doc_id", F.split("text", "\n").alias("ls"), F.octet_length("text").alias("size"))
-    starts = F.expr("transform(ls, (x, i) -> cast(aggregate(slice(ls, 1, i), 0, (a, s) -> a + octet_length(s) + 1) as int))")
-    return doc.select("doc_id", T.offset(starts, (F.col("doc_id") % 4).cast("int"), F.lit(4), F.col("size")).alias("byte")).where("byte is not null")
+    doc = d.table("documents").select("doc_id", F.split("text", "\n").alias("ls"))
+    return doc.select("doc_id", T.offset(F.col("ls"), (F.col("doc_id") % 4).cast("int"), F.lit(4)).alias("byte")).where("byte is not null")
 
 
 @query
@@ -361,7 +423,7 @@ def qualify_names(d):
 
 @query
 def hit_texts(d):
-    s = d["symbols"].where("tier_rank = 4")
+    s = d["symbols"]
     return s.select("obj_id", formats.symbol_hit(*(F.col(c) for c in ("file", "line", "tier", "kind", "qname"))).alias("hit"), formats.position(F.col("file"), F.col("line"), F.col("col")).alias("at"))
 
 
@@ -385,7 +447,7 @@ def proto_xref(d):
 
 @query
 def lint_banned(d):
-    found = lint.run(d, lint.build([("bannedinscope", {"banned": ["m/1.red *", "m/*.small bolt"], "scope": ["example.com/r0/...", "example.com/r1/n1"]})]))
+    found = lint.run(d, lint.build([("bannedinscope", {"banned": ["m/1.red *", "m/*.small bolt"], "scope_packages": ["example.com/r0/...", "example.com/r1/n1"]})]))
     return found
 
 
@@ -410,7 +472,7 @@ def reload_sessions(d):
 
 @query
 def reload_stream(d):
-    """The same by a stream over the table, in complete mode."""
+    """The same by a stream over the table; each batch writes its whole state to the shared folder."""
     import uuid
 
     from .plans.storage import shared_folder
@@ -421,9 +483,14 @@ def reload_stream(d):
     files = spark.readStream.schema(table.schema).parquet(f"{path}*")
     twin = DriverFacts(spark, d.sf_dir)
     twin.table = lambda name: files  # type: ignore[method-assign]
-    name = f"reloads_{uuid.uuid4().hex}"
-    stop = reload.sessions(twin["fs_events"].withWatermark("ts", "10 seconds"), "20 minutes")
-    q = stop.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.table(name)
+    folder = f"{shared_folder(spark)}/reloads-{uuid.uuid4().hex}"
+    rows = reload.sessions(twin["fs_events"].withWatermark("ts", "10 seconds"), "20 minutes")
+    written = []
+
+    def save(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        written.append(number)
+
+    rows.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(f"{folder}/batch-{max(written)}")
     return out.select(F.col("started").cast("timestamp_ntz").alias("started"), F.col("due").cast("timestamp_ntz").alias("due"), "n_events")

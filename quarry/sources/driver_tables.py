@@ -97,50 +97,73 @@ class DriverFacts(dict):
         file = F.concat(F.lit("o"), F.col("l_orderkey"), F.lit(".go")).alias("file")
         one = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey")), F.concat(F.lit("p"), F.col("l_partkey")), file, "l_linenumber", "q", F.lit("static"))
         two = line.select(F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey")), file, "l_linenumber", "q", F.lit("static"))
-        supplier, customer = self.table("supplier").select("s_suppkey", "s_nationkey"), self.table("customer").select("c_custkey", "c_nationkey")
-        back = supplier.join(customer, (F.col("s_nationkey") == F.col("c_nationkey")) & ((F.col("s_suppkey") + F.col("c_custkey")) % 11 == 0))
+        # A supplier calls the functions of two customers, found by key, which closes cycles.
+        calls = self.table("supplier").select("s_suppkey", F.explode(F.array(F.col("s_suppkey") * 13, F.col("s_suppkey") * 7 + 1)).alias("c_custkey"))
+        back = calls.join(self.table("customer").select("c_custkey"), "c_custkey", "left_semi")
         three = back.select(F.concat(F.lit("s"), F.col("s_suppkey")), F.concat(F.lit("c"), F.col("c_custkey")), F.lit("back.go"), F.lit(1), F.lit(1), F.lit("static"))
         return one.union(two).union(three).toDF("caller", "callee", "file", "line", "col", "dispatch")
 
     def _named_types(self) -> DataFrame:
-        """Customers are concrete types; iface0 to iface3 are interfaces."""
+        """Customers are concrete types; iface0 to iface3, and one of each supplier, are interfaces."""
         pkg = self["packages"].select("pkg_path", "tier_rank", "load_order")
         c = self.table("customer").join(F.broadcast(pkg), F.col("c_nationkey") == F.col("load_order"))
         concrete = c.select(F.concat(F.lit("t"), F.col("c_custkey")), F.concat(F.col("pkg_path"), F.lit(".T"), F.col("c_custkey")), "pkg_path", F.lit(False), F.lit("types.go"), F.col("c_custkey").cast("int"), F.lit(6), "tier_rank")
         ifaces = self.spark.range(4).select(F.concat(F.lit("iface"), F.col("id")), F.concat(F.lit("example.com/r0/n0.I"), F.col("id")), F.lit("example.com/r0/n0"), F.lit(True), F.lit("ifaces.go"), F.col("id").cast("int"), F.lit(6), F.lit(4))
-        return concrete.union(ifaces).toDF("type_id", "qname", "pkg_path", "is_interface", "file", "line", "col", "tier_rank")
+        own = self.table("supplier").select(F.concat(F.lit("isup"), F.col("s_suppkey")), F.concat(F.lit("example.com/r0/n0.S"), F.col("s_suppkey")), F.lit("example.com/r0/n0"), F.lit(True), F.lit("sups.go"), F.col("s_suppkey").cast("int"), F.lit(6), F.lit(4))
+        return concrete.union(ifaces).union(own).toDF("type_id", "qname", "pkg_path", "is_interface", "file", "line", "col", "tier_rank")
 
     def _method_sets(self) -> DataFrame:
-        """A customer's methods: the types of parts it bought; a pointer method where the order key is odd."""
+        """A customer's methods: the types of parts it bought, and the parts; a pointer method where no order key is even."""
         orders, part = self.table("orders").select("o_orderkey", "o_custkey"), self.table("part").select("p_partkey", "p_type")
         rows = self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-        return rows.groupBy("o_custkey", "p_type").agg((F.min(F.col("l_orderkey") % 2) == 1).alias("via_pointer")).select(
-            F.concat(F.lit("t"), F.col("o_custkey")).alias("type_id"), "via_pointer", F.col("p_type").alias("name"), F.lit("func()").alias("signature"),
-            F.concat(F.lit("(t"), F.col("o_custkey"), F.lit(")."), F.col("p_type")).alias("fn_qname"),
+        rows = rows.select("o_custkey", "l_orderkey", F.explode(F.array("p_type", F.concat(F.lit("M"), F.col("l_partkey")))).alias("name"))
+        return rows.groupBy("o_custkey", "name").agg((F.min(F.col("l_orderkey") % 2) == 1).alias("via_pointer")).select(
+            F.concat(F.lit("t"), F.col("o_custkey")).alias("type_id"), "via_pointer", "name", F.lit("func()").alias("signature"),
+            F.concat(F.lit("(t"), F.col("o_custkey"), F.lit(")."), F.col("name")).alias("fn_qname"),
         )
 
     def _iface_methods(self) -> DataFrame:
-        """iface0: all part types; iface1: those that begin with E or S; iface2: STANDARD alone; iface3: none."""
+        """iface0: all part types; iface1: those that begin with E or S; iface2: STANDARD alone; iface3: none.
+
+        A supplier's interface: one part, and STANDARD if its key is even.
+        """
         names = self.table("part").select(F.col("p_type").alias("name")).distinct()
         kinds = [("iface0", F.lit(True)), ("iface1", F.substring("name", 1, 1).isin("E", "S")), ("iface2", F.col("name") == "STANDARD")]
         parts = [names.where(cond).select(F.lit(k).alias("type_id"), "name", F.lit("func()").alias("signature")) for k, cond in kinds]
-        return parts[0].union(parts[1]).union(parts[2])
+        key = F.col("s_suppkey")
+        one = F.concat(F.lit("M"), key * 2)
+        own = self.table("supplier").select(F.concat(F.lit("isup"), key).alias("type_id"), F.explode(F.when(key % 2 == 0, F.array(one, F.lit("STANDARD"))).otherwise(F.array(one))).alias("name"), F.lit("func()").alias("signature"))
+        return parts[0].union(parts[1]).union(parts[2]).union(own)
 
     def _dyn_sites(self) -> DataFrame:
-        """Every fiftieth supplier calls STANDARD through iface2 or iface1."""
-        s = self.table("supplier").where("s_suppkey % 50 = 0")
-        return s.select(
-            F.concat(F.lit("s"), F.col("s_suppkey")).alias("caller"), F.when(F.col("s_suppkey") % 100 == 0, "iface2").otherwise("iface1").alias("iface_type_id"),
-            F.lit("STANDARD").alias("method"), F.lit("func()").alias("signature"), F.lit("dyn.go").alias("file"), F.col("s_suppkey").cast("int").alias("line"), F.lit(3).alias("col"),
+        """Every supplier calls a part's method through its interface."""
+        key = F.col("s_suppkey")
+        return self.table("supplier").select(
+            F.concat(F.lit("s"), key).alias("caller"), F.concat(F.lit("isup"), key).alias("iface_type_id"),
+            F.concat(F.lit("M"), key * 2).alias("method"), F.lit("func()").alias("signature"), F.lit("dyn.go").alias("file"), key.cast("int").alias("line"), F.lit(3).alias("col"),
         )
 
+    def _func_values(self) -> DataFrame:
+        """Every customer takes the function of the part of its number as a value."""
+        key = F.col("c_custkey")
+        return self.table("customer").select(F.concat(F.lit("c"), key).alias("taker"), F.concat(F.lit("p"), key).alias("fn"), F.concat(F.lit("func("), key, F.lit(")")).alias("signature"))
+
+    def _func_sites(self) -> DataFrame:
+        """Every supplier calls a value of the signature of three times its number."""
+        key = F.col("s_suppkey")
+        return self.table("supplier").select(F.concat(F.lit("s"), key).alias("caller"), F.concat(F.lit("func("), key * 3, F.lit(")")).alias("signature"), F.lit("val.go").alias("file"), key.cast("int").alias("line"), F.lit(9).alias("col"))
+
+    def _functions(self) -> DataFrame:
+        """Parts are functions; those of one qualified name are its variants, every eleventh is synthetic."""
+        key = F.col("p_partkey")
+        return self.table("part").select(F.concat(F.lit("p"), key).alias("fn_id"), F.concat(F.lit("m/"), key % 7, F.lit("."), F.col("p_name")).alias("qname"), F.concat(F.lit("v"), key % 3).alias("variant"), (key % 11 == 0).alias("synthetic"))
+
     def _instantiations(self) -> DataFrame:
         """A customer's function instantiates the type of the customer after it."""
         return self.table("customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("fn"), F.concat(F.lit("t"), F.col("c_custkey") + 1).alias("type_id"))
 
-    def _file_lines(self) -> DataFrame:
-        d = self.table("documents").select(F.concat(F.lit("vendor/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.posexplode(F.split("text", "\n")).alias("p", "text"))
-        return d.select("path", (F.col("p") + 1).alias("line"), "text")
+    def _texts(self) -> DataFrame:
+        return self.table("documents").select(F.concat(F.lit("vendor/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
 
     def _struct_fields(self) -> DataFrame:
         key, name = F.col("p_partkey"), F.initcap("p_name")

@@ -48,21 +48,23 @@ class World:
                     self.methods.setdefault(f"{pkg}.{t}", {})[name] = [path, pointer, sig, line, col]
 
     def underlying(self, t):
-        for _ in range(20):
-            if t is None or t[0] != "named":
-                break
+        seen = set()
+        while t is not None and t[0] == "named":
             d = self.types.get(t[1])
-            if d is None:
+            if d is None or t[1] in seen:
                 return None
+            seen.add(t[1])
             t = d[1]
         return ERROR if t == ["basic", "error"] else ["iface", [], []] if t in (["basic", "any"], ["basic", "comparable"]) else t
 
     def real(self, t):
         """Through aliases."""
-        for _ in range(20):
-            d = self.types.get(t[1]) if t and t[0] == "named" else None
+        seen = set()
+        while t and t[0] == "named" and t[1] not in seen:
+            d = self.types.get(t[1])
             if d is None or not d[2]:
                 break
+            seen.add(t[1])
             t = d[1]
         return t
 
@@ -94,20 +96,20 @@ class World:
                     out.setdefault(m, (pointer and not by_pointer, sig, qname))
         return out
 
-    def field(self, t, name: str, depth: int = 0):
+    def field(self, t, name: str, seen=frozenset()):
         """(owner, type, line, col) of a struct field, promoted ones too."""
         if t and t[0] == "ptr":
             t = t[1]
         t = self.real(t)
         u = self.underlying(t)
-        if depth > 8 or not u or u[0] != "struct":
+        if not u or u[0] != "struct" or text(t) in seen:
             return None
         for f in u[1]:
             if f[0] == name:
                 return (t[1] if t[0] == "named" else text(t), f[1], f[3], f[4])
         for f in u[1]:
             if f[2]:
-                found = self.field(f[1], name, depth + 1)
+                found = self.field(f[1], name, seen | {text(t)})
                 if found:
                     return found
         return None
@@ -459,7 +461,7 @@ class Checker:
         """A function named outside a call's callee is a value that may be called later."""
         obj = self.lookup(n.name) if n.kind == "Ident" else self.selected if n.kind == "Selector" else None
         if obj is not None and obj.kind in ("func", "method") and obj.id and not obj.id.startswith("iface:") and obj.type:
-            self.emit("func_values", {"fn": obj.qname, "signature": text(obj.type)})
+            self.emit("func_values", {"taker": self.fn, "fn": obj.qname, "signature": text(obj.type)})
 
     def of_Ident(self, n: Node):
         if n.name == "_":
@@ -502,7 +504,7 @@ class Checker:
         outer = self.fn
         self.fn = f"{outer}${self.literals}"
         self.emit("functions", {"fn_id": f"{self.fn}@{self.path}", "qname": self.fn, "variant": "regular", "synthetic": False})
-        self.emit("func_values", {"fn": self.fn, "signature": text(self.types.type(n.sig))})
+        self.emit("func_values", {"taker": outer, "fn": self.fn, "signature": text(self.types.type(n.sig))})
         self.function(n.sig, n.body)
         self.fn = held[0]
         return self.types.type(n.sig)

@@ -136,7 +136,7 @@ def source_facts(spark: SparkSession, roots: list[Root], tags: list[str] | None
     mine = parsed.select("pkg_path", F.col("pkg_path").alias("of_pkg"), F.lit(True).alias("own"), "path", "text", "summary").join(ranks, "pkg_path")
     theirs = parsed.where(~F.col("is_test")).select(F.col("pkg_path").alias("of_pkg"), "path", "summary").join(reached, "of_pkg")
     theirs = theirs.select("pkg_path", "of_pkg", F.lit(False).alias("own"), "path", F.lit(None).cast("string").alias("text"), "summary", F.lit(0).alias("tier_rank"), F.lit(0).alias("load_order"))
-    rows = keep(mine.unionByName(theirs).groupBy("pkg_path").applyInPandas(_check, "table string, row string"), "checked")
+    rows = keep(mine.unionByName(theirs).groupBy("pkg_path").applyInPandas(_check, "table string, row string"), "checked", "table")
 
     facts: dict[str, DataFrame] = {"packages": packages, "imports": imports}
     for table in _CHECKED:
@@ -149,11 +149,10 @@ def source_facts(spark: SparkSession, roots: list[Root], tags: list[str] | None
     from ..operators.symbols import deduplicate
 
     facts["symbols"] = keep(deduplicate(symbols), "symbols")
-    valued = facts["func_sites"].join(facts["func_values"].distinct(), "signature").select("caller", F.col("fn").alias("callee"), "file", "line", "col", F.lit("funcvalue").alias("dispatch"))
-    facts["call_edges"] = facts["call_edges"].unionByName(valued)
     facts["files"] = parsed.join(ranks, "pkg_path").select("path", "pkg_path", "is_test", F.size(F.split("text", "\n")).alias("n_lines"), "load_order")
     lines = parsed.select("path", F.posexplode(F.split("text", "\n")).alias("p", "text"))
     facts["file_lines"] = lines.select("path", (F.col("p") + 1).alias("line"), "text")
+    facts["texts"] = parsed.select("path", "text")
     facts["faults"] = parsed.where("fault <> ''").select("path", "fault")
     return facts
 

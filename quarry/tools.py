@@ -195,18 +195,17 @@ class Tools:
         return Result([row], f"{row['file']}:{row['line']}\n{row['context']}")
 
     def _texts(self) -> DataFrame:
-        """Lines of the vendored texts below the root, by path from the root."""
-        if "cited_lines" not in self.facts:
+        """The vendored texts below the root, by path from the root."""
+        if "cited_texts" not in self.facts:
             parts = None
             for r in sorted({p.root for p in self.config.citations}):
                 base = f"{self.root.rstrip('/')}/{r}"
                 rows = self.spark.read.text(base, wholetext=True, recursiveFileLookup=True)
                 path = F.concat(F.lit(r.rstrip("/") + "/"), F.expr(f"substring(regexp_replace(_metadata.file_path, '^file:/*', '/'), {len(base.rstrip('/')) + 2})"))
-                rows = rows.select(path.alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("p", "text"))
-                rows = rows.select("path", (F.col("p") + 1).alias("line"), "text")
+                rows = rows.select(path.alias("path"), F.regexp_replace("value", r"\n\z", "").alias("text"))
                 parts = rows if parts is None else parts.unionByName(rows)
-            self.facts["cited_lines"] = parts
-        return self.facts["cited_lines"]
+            self.facts["cited_texts"] = parts
+        return self.facts["cited_texts"]
 
     def proto_field_xref(self, message: str, field: str, proto_glob: str = "", ref_glob: str = "", limit: int = 0) -> Result:
         required(message=message, field=field)
@@ -246,8 +245,36 @@ class Tools:
     def go_list_modules(self) -> Result:
         return Result([], resources.module_list(self.facts["packages"]).first().text)
 
-    def run_test(self, command: list[str], timeout: float = 300.0) -> Result:
-        """Run a test command at the root; its output is clipped.  Exit code -1: it couldn't start."""
+    def load_faults(self, limit: int = 50) -> Result:
+        """Files that don't parse, with what is wrong: how many there are, and the first of them."""
+        faults = self.facts.get("faults")
+        if faults is None:
+            return Result([], "0 load error(s)", {"count": 0})
+        count = faults.count()
+        rows = self._relative([{"file": r.path, "fault": r.fault} for r in faults.orderBy("path").limit(limit).collect()])
+        return Result(rows, "\n".join([f"{count} load error(s)", *(f"{r['file']}: {r['fault']}" for r in rows)]), {"count": count})
+
+    def functions(self, qname: str) -> Result:
+        """The functions of a qualified name, one for each variant."""
+        required(qname=qname)
+        own = self.facts["functions"].where(F.col("qname") == names.strip_instantiation_text(qname.strip()))
+        got = callgraph.functions_by_qname(own).first()
+        if got is None:
+            raise model.QueryError(f"function not found: {qname}")
+        return Result([{"qname": got.qname, "fn_id": f} for f in got.fn_ids], "\n".join(got.fn_ids), {"count": got.n})
+
+    def test_command(self, packages: list[str] = (), run: str = "", tags: list[str] = (), race: bool = False, count: int | None = None, verbose: bool = False) -> list[str]:
+        """The command that tests ``packages`` (all by default); a package that looks like a flag is refused."""
+        if any(not p.strip() or p.startswith("-") for p in packages):
+            raise model.QueryError("packages must be package patterns")
+        if count is not None and count < 1:
+            raise model.QueryError("count must be at least 1")
+        flags = [*(["-run", run] if run else []), *(["-tags", ",".join(tags)] if tags else []), *["-race"] * race, *([f"-count={count}"] if count else []), *["-v"] * verbose]
+        return ["go", "test", *flags, *(packages or ["./..."])]
+
+    def run_test(self, command: list[str] | None = None, timeout: float = 300.0, **how) -> Result:
+        """Run a test command (or that of ``test_command``) at the root; its output is clipped.  Exit code -1: it couldn't start."""
+        command = self.test_command(**how) if command is None else command
         try:
             done = subprocess.run(command, cwd=self.root or None, capture_output=True, text=True, timeout=timeout, check=False)
             code, output = done.returncode, done.stdout + done.stderr

@@ -265,3 +265,26 @@ def test_config(tmp_path):
     with pytest.raises(model.QueryError):
         C.with_preset(got, "bogus")
     assert citations.Pattern("x", "y").description == ""
+
+
+def test_lint_configuration_names_its_keys(tools):
+    banned = {"banned": ["time.Now"], "scope_packages": ["example.com/guarded/inside"]}
+    assert lint.build([("bannedinscope", banned)])[0].name == "bannedinscope"
+    with pytest.raises(model.QueryError):
+        lint.build([("bannedinscope", {"banned": ["time.Now"], "scopes": ["x"]})])
+
+
+def test_test_command(tools):
+    assert tools.test_command() == ["go", "test", "./..."]
+    assert tools.test_command(["./pkg"], "TestX", ["a", "b"], True, 2, True) == ["go", "test", "-run", "TestX", "-tags", "a,b", "-race", "-count=2", "-v", "./pkg"]
+    for bad in ({"packages": ["-exec=rm"]}, {"packages": [" "]}, {"count": 0}):
+        with pytest.raises(model.QueryError):
+            tools.test_command(**bad)
+
+
+def test_functions_and_load_errors(tools):
+    name = tools.facts["functions"].where("not synthetic").first().qname
+    assert tools.functions(name).extra["count"] >= 1
+    with pytest.raises(model.QueryError):
+        tools.functions("no.Such")
+    assert tools.load_faults().extra["count"] == tools.facts["faults"].count()

@@ -167,3 +167,59 @@ def test_build_constraints():
     assert builds("a.go", "package a", frozenset()) and not builds("a_windows.go", "package a", frozenset()) and builds("a_linux_test.go", "package a", frozenset())
     for line, tags, want in (("x", "", False), ("x", "x", True), ("!x", "", True), ("x || linux", "", True), ("x && linux", "", False), ("!(x || y) && go1.20", "", True), ("x && (y || z)", "x z", True)):
         assert builds("a.go", f"// c\n\n//go:build {line}\n\npackage a", frozenset(tags.split())) is want, line
+
+
+def test_function_values_count_where_they_are_taken(spark):
+    """A value taken in dead code is no target of a reachable call; one taken outside functions always is."""
+    make = lambda table, rows: spark.createDataFrame(rows, model.SCHEMAS[table])
+    facts = {t: model.empty(spark, t) for t in ("dyn_sites", "method_sets", "iface_methods", "named_types", "instantiations")}
+    facts["call_edges"] = make("call_edges", [("main", "run", "a.go", 1, 1, "static"), ("dead", "gone", "a.go", 2, 1, "static"), ("used", "late", "a.go", 3, 1, "static")])
+    facts["func_sites"] = make("func_sites", [("run", "func()", "a.go", 4, 1), ("late", "func(int)", "a.go", 5, 1)])
+    facts["func_values"] = make("func_values", [("main", "used", "func()"), ("dead", "unused", "func()"), (None, "outer", "func()"), ("late", "deep", "func(int)"), ("used", "never", "func(string)")])
+    edges, reached = callgraph.rta(facts, spark.createDataFrame([("main",)], "node string"))
+    assert {r.node for r in reached.collect()} == {"main", "run", "used", "outer", "late", "deep"}
+    assert {(r.caller, r.callee) for r in edges.collect()} == {("main", "run"), ("run", "used"), ("run", "outer"), ("used", "late"), ("late", "deep")}
+    assert ("run", "unused") in {(r.caller, r.callee) for r in callgraph.cha(facts).collect()}
+
+
+def test_long_chains_are_reached(spark, monkeypatch):
+    from quarry.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "COMPACT", 2)
+    monkeypatch.setattr(callgraph, "COMPACT", 2)
+    rows = [(f"n{k}", f"n{k + 1}", "a.go", k, 1, "static") for k in range(9)] + [("n9", "n0", "a.go", 9, 1, "static")]
+    facts = {t: model.empty(spark, t) for t in ("dyn_sites", "method_sets", "iface_methods", "named_types", "instantiations", "func_sites", "func_values")}
+    facts["call_edges"] = spark.createDataFrame(rows, model.SCHEMAS["call_edges"])
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert {(r.node, r.depth) for r in callgraph.reachable(callgraph.static_edges(facts), start).collect()} == {(f"n{k}", k) for k in range(10)}
+    assert callgraph.rta(facts, start)[1].count() == 10
+    path = callgraph.trace(callgraph.static_edges(facts), "n3", ["nowhere", "n8", "n1"])
+    assert [p["caller"] for p in path] == ["n8", "n9", "n0", "n1", "n2"]
+    assert callgraph.trace(callgraph.static_edges(facts), "n3", ["n3"]) == [] and callgraph.trace(callgraph.static_edges(facts), "zz", ["n0"]) == []
+
+
+def test_functions_of_a_name(spark):
+    rows = [("f@a", "p.F", "regular", False), ("f@b", "p.F", "test", False), ("g", "p.G", "regular", False), ("w", "p.F", "regular", True)]
+    df = spark.createDataFrame(rows, model.SCHEMAS["functions"])
+    assert [tuple(r) for r in callgraph.functions_by_qname(df).orderBy("qname").collect()] == [("p.F", 2, ["f@a", "f@b"]), ("p.G", 1, ["g"])]
+    edges = spark.createDataFrame([("f@a", "x", "a", 1, 1), ("f@b", "x", "a", 1, 1), ("f@b", "y", "a", 2, 1), ("w", "z", "a", 3, 1)], "caller string, callee string, file string, line int, col int")
+    assert {r.callee for r in callgraph.edges_of_variants(df, edges, "p.F").collect()} == {"x", "y"}
+
+
+def test_tree_is_followed(spark, tmp_path):
+    tree = tmp_path / "tree"
+    (tree / "pkg").mkdir(parents=True)
+    (tree / "pkg" / "a.go").write_text("package a")
+    (tree / "b.go").write_text("package b")
+    before = spark.createDataFrame(reload.listing(spark, str(tree)).collect())
+    (tree / "new" / "deep").mkdir(parents=True)
+    (tree / "new" / "deep" / "c.go").write_text("package c")
+    (tree / "b.go").write_text("package b // longer")
+    (tree / "pkg" / "a.go").unlink()
+    got = {(r.path, r.op) for r in reload.tree_changes(before, reload.listing(spark, str(tree))).collect()}
+    assert got == {("new/deep/c.go", "create"), ("b.go", "write"), ("pkg/a.go", "remove")}
+    paths = spark.createDataFrame([("new/deep/c.go",), ("vendor/x/y.go",), (".git/z",), ("d.go",)], "path string")
+    assert {r.folder for r in reload.folders(paths).collect()} == {".", "new", "new/deep"}
+    sink = str(tmp_path / "events")
+    reload.follow(spark, str(tree), sink, 0.0, rounds=1)  # nothing changed
+    assert not (tmp_path / "events").exists()
