@@ -20,8 +20,12 @@ COMPACT = 8  # rounds after which the tables of earlier ones are made one
 def targets(facts: dict[str, DataFrame]) -> DataFrame:
     """iface_type_id, method, signature, type_id, callee: what each interface method that is called may run, by type."""
     asked = facts["dyn_sites"].select("iface_type_id", "method", "signature").distinct()
-    found = implementers(facts["method_sets"], facts["iface_methods"], facts["named_types"], asked.select(F.col("iface_type_id").alias("type_id")))
-    methods = facts["method_sets"].select("type_id", F.col("name").alias("method"), "signature", F.col("fn_qname").alias("callee"))
+    ifaces = asked.select(F.col("iface_type_id").alias("type_id")).distinct()
+    wanted = facts["iface_methods"].join(ifaces, "type_id", "left_semi")
+    named = wanted.select("name", "signature").unionByName(asked.select(F.col("method").alias("name"), "signature")).distinct()
+    held = keep(facts["method_sets"].join(named, ["name", "signature"], "left_semi"), "methods")
+    found = implementers(held, wanted, facts["named_types"], ifaces)
+    methods = held.select("type_id", F.col("name").alias("method"), "signature", F.col("fn_qname").alias("callee"))
     return asked.join(found.withColumnRenamed("iface", "iface_type_id"), "iface_type_id").join(methods, ["type_id", "method", "signature"]).distinct()
 
 
@@ -30,9 +34,14 @@ def dynamic_edges(sites: DataFrame, runs: DataFrame) -> DataFrame:
     return sites.join(runs, ["iface_type_id", "method", "signature"]).select(*EDGE).distinct()
 
 
+def calls(facts: dict[str, DataFrame]) -> DataFrame:
+    """Direct calls, as often as the facts have them: enough where only reachability is asked."""
+    return facts["call_edges"].select(F.coalesce("caller", F.lit(ROOT)).alias("caller"), "callee", "file", "line", "col")
+
+
 def static_edges(facts: dict[str, DataFrame]) -> DataFrame:
-    """Direct calls."""
-    return facts["call_edges"].select(F.coalesce("caller", F.lit(ROOT)).alias("caller"), "callee", "file", "line", "col").distinct()
+    """Direct calls, each once."""
+    return calls(facts).distinct()
 
 
 def value_edges(sites: DataFrame, values: DataFrame) -> DataFrame:
@@ -50,14 +59,19 @@ def rta(facts: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, Dat
 
     A fixpoint over three gains: reachable functions instantiate types and take function values;
     instantiated types give interface calls their targets; taken values give calls of values theirs.
-    What doesn't change (edges, sites, targets) is written once; each round joins it with new functions,
-    types and values only, and writes its gain.  Values taken outside functions count from the start.
+    What doesn't change (calls, sites, targets) is written once; each round joins it with new functions,
+    types and values only, and writes those.  Values taken outside functions count from the start.
+    The edges are put together once, at the end.
     """
-    static, sites, runs = keep(static_edges(facts), "rta-static"), keep(facts["dyn_sites"], "rta-sites"), keep(targets(facts), "rta-targets")
-    calls, values, made = keep(facts["func_sites"], "rta-calls"), keep(facts["func_values"].distinct(), "rta-values"), keep(facts["instantiations"].distinct(), "rta-made")
-    has = {name: not df.isEmpty() for name, df in (("sites", runs), ("calls", calls))}
+    static, sites, runs = keep(calls(facts), "rta-calls"), keep(facts["dyn_sites"], "rta-sites"), keep(targets(facts), "rta-targets")
+    uses = keep(facts["func_sites"], "rta-uses")
+    # What a function brings about: types that it makes, values that it takes.
+    made = facts["instantiations"].select("fn", "type_id", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("signature"))
+    brought = made.unionByName(facts["func_values"].select(F.col("taker").alias("fn"), F.lit(None).cast("string").alias("type_id"), F.col("fn").alias("value"), "signature"))
+    brought = keep(brought.distinct(), "rta-brought")
+    alive = not runs.isEmpty() or not uses.isEmpty()
     fresh = keep(entries.select("node").distinct(), "rta-fn")
-    functions, types, taken, gains = [fresh], [], [], []
+    functions, gains = [fresh], []
 
     def of(df: DataFrame, nodes: DataFrame, key: str = "caller") -> DataFrame:
         return df.join(nodes, F.col(key) == F.col("node"), "left_semi")
@@ -65,38 +79,29 @@ def rta(facts: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, Dat
     def union(parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, parts)
 
+    def gained(nodes: DataFrame, by: DataFrame) -> DataFrame:
+        """Edges of interface calls and of values from some functions, by some types and values."""
+        types, values = by.select("type_id").where("type_id is not null").distinct(), by.where("value is not null").select(F.col("value").alias("fn"), "signature")
+        return dynamic_edges(of(sites, nodes), runs.join(types, "type_id", "left_semi")).unionByName(value_edges(of(uses, nodes), values))
+
     while True:
-        before = functions[:-1]
-        gain = []
-        if has["sites"]:
-            new_types = of(made, fresh, "fn").select("type_id").distinct()
-            new_types = keep(new_types.join(union(types), "type_id", "left_anti") if types else new_types, "rta-type")
-            types.append(new_types)
-            gain.append(dynamic_edges(of(sites, fresh), runs.join(union(types), "type_id", "left_semi")))
-            if before:
-                gain.append(dynamic_edges(of(sites, union(before)), runs.join(new_types, "type_id", "left_semi")))
-        if has["calls"]:
-            new_values = of(values, fresh, "taker")
-            new_values = keep(new_values if taken else new_values.unionByName(values.where("taker is null")), "rta-value")
-            taken.append(new_values)
-            gain.append(value_edges(of(calls, fresh), union(taken)))
-            if before:
-                gain.append(value_edges(of(calls, union(before)), new_values))
-        direct = of(static, fresh).select(F.col("callee").alias("node"))
-        if gain:
-            gained = keep(union(gain).distinct(), "rta-edge")
-            gains.append(gained)
-            direct = direct.unionByName(gained.select(F.col("callee").alias("node")))
-        fresh = keep(direct.distinct().join(union(functions), "node", "left_anti"), "rta-fn")
+        found = of(static, fresh).select("callee")
+        if alive:
+            new = of(brought, fresh, "fn")
+            gains.append(keep(new if gains else new.unionByName(brought.where("fn is null")), "rta-gain"))
+            found = found.unionByName(gained(fresh, union(gains)).select("callee"))
+            if len(functions) > 1:
+                found = found.unionByName(gained(union(functions[:-1]), gains[-1]).select("callee"))
+        fresh = keep(found.select(F.col("callee").alias("node")).distinct().join(union(functions), "node", "left_anti"), "rta-fn")
         if fresh.isEmpty():
             break
         functions.append(fresh)
-        for parts, name in ((functions, "rta-fn"), (types, "rta-type"), (taken, "rta-value")):
+        for parts, name in ((functions, "rta-fn"), (gains, "rta-gain")):
             if len(parts) > COMPACT:  # the newest stays apart: it is the frontier
                 parts[:-1] = [keep(union(parts[:-1]), name)]
     reached = union(functions)
-    edges = of(static, reached)
-    return (edges.unionByName(union(gains)) if gains else edges).distinct(), reached
+    edges = of(static, reached).select(*EDGE)
+    return (edges.unionByName(gained(reached, union(gains))) if gains else edges).distinct(), reached
 
 
 def functions_by_qname(functions: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def callees(edges: DataFrame, qname: str) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, depth of everything reachable from ``starts`` (node)."""
-    return fixpoint.reach(edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct(), starts, max_rounds).select("node", "depth")
+    return fixpoint.reach(edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), starts, max_rounds).select("node", "depth")
 
 
 def trace(edges: DataFrame, target: str, entries: list[str]) -> list[dict]:
@@ -140,7 +145,8 @@ def trace(edges: DataFrame, target: str, entries: list[str]) -> list[dict]:
     links = keep(edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "file", "line", "col"), "trace-links")
     aim = spark.createDataFrame([(target,)], "node string")
     asked = spark.createDataFrame([(e, k) for k, e in enumerate(entries)], "node string, ordinal int")
-    back = fixpoint.reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), aim, stop=asked.where("ordinal = 0"), kept=True).select("node")
+    callers = asked.join(links.select(F.col("src").alias("node")), "node", "left_semi").orderBy("ordinal").limit(1)  # the first that calls anything
+    back = fixpoint.reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), aim, stop=callers, kept=True).select("node")
     first = asked.join(back, "node", "left_semi").orderBy("ordinal").first()
     if first is None or first.node == target:
         return []

@@ -213,13 +213,13 @@ def two_hop(d):
 @query
 def reach_depth(d):
     """Every function reachable from c1 in a cyclic graph, with its distance."""
-    return callgraph.reachable(callgraph.static_edges(d), d.spark.createDataFrame([("c1",)], "node string"))
+    return callgraph.reachable(callgraph.calls(d), d.spark.createDataFrame([("c1",)], "node string"))
 
 
 @query
 def reverse_trace(d):
     """Shortest call path from c1 to s33; of several, the one with the smallest callers."""
-    path = callgraph.trace(callgraph.static_edges(d), "s33", ["nowhere", "c1"])
+    path = callgraph.trace(callgraph.calls(d), "s33", ["nowhere", "c1"])
     rows = [(k, p["caller"], p["callee"], p["file"], p["line"], p["col"]) for k, p in enumerate(path)]
     return d.spark.createDataFrame(rows, "step int, caller string, callee string, file string, line int, col int")
 
