@@ -32,11 +32,11 @@ are verified on the full sets.  A second round verifies every remaining pair tha
 and lies in different components.  So no link between components is lost, and links inside one aren't
 all spelled out.
 
-Large groups.  The first round looks at their first block with each of the others, which joins most
-of a family.  In the second round a large group that still has several components is dealt anew by a
-universe partition of another seed (linked sets share a signature in every one of them); a part that
-is large again, and a group that doesn't fall apart by it, is compared block by block, blocks of one
-and the same component left out.
+Large groups.  Up to BLOCKS blocks are looked at in pairs of blocks.  Of more, the first round looks
+at the first block with each of the others, which joins most of a family; in the second round such a
+group that still has several components is dealt anew by a universe partition of another seed (linked
+sets share a signature in every one of them).  A part that is large again, and a group that doesn't
+become cheaper by it, is compared block by block, blocks of one and the same component left out.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a text of
 any length is one set; a null doc_id takes part, and gives way to any other id as component id; rows
@@ -60,6 +60,7 @@ from . import common, kernels
 
 U = np.uint64
 GROUP = 1024
+BLOCKS = 16  # of GROUP / 2 sets: groups of more are not paired out block by block at once
 SALTS = 32
 SHARE = 64 << 20  # bytes of signatures that a task of the index holds, about
 BITMAP = 25  # bits of the hash that select contents to fetch
@@ -378,11 +379,14 @@ def _groups(docs: DataFrame, n: int, bands: Bands, elements: int) -> DataFrame:
 
 
 def _first_look(groups: DataFrame) -> DataFrame:
-    """gid, set_id of the groups as the first round sees them: large ones as their first block with each other one."""
+    """gid, set_id of the groups as the first round sees them: large ones in pairs of blocks, very large ones as their first block with each other one."""
     small = groups.where("block < 0").select("gid", F.explode("members").alias("set_id"))
-    head = groups.where("block = 0").select("gid", F.col("members").alias("head"))
-    pairs = groups.where("block > 0").join(head, "gid").select(F.xxhash64("gid", "block").alias("gid"), F.explode(F.concat("head", "members")).alias("set_id"))
-    return small.unionByName(pairs)
+    hot = groups.where("block >= 0")
+    top = hot.groupBy("gid").agg(F.max("block").alias("top"))
+    one, two = hot.select("gid", F.col("block").alias("i"), F.col("members").alias("first")), hot.select("gid", F.col("block").alias("j"), F.col("members").alias("second"))
+    several = two.join(top.where(F.col("top") < BLOCKS), "gid").join(one, "gid").where("i < j")
+    many = two.join(top.where(F.col("top") >= BLOCKS), "gid").join(one.where("i = 0"), "gid").where("i < j")
+    return small.unionByName(several.unionByName(many).select(F.xxhash64("gid", "i", "j").alias("gid"), F.explode(F.concat("first", "second")).alias("set_id")))
 
 
 def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
@@ -397,8 +401,13 @@ def _second_look(docs: DataFrame, n: int, groups: DataFrame, labels: DataFrame,
     p, q = bands.p, bands.q
     found = _labelled(groups.where("block < 0").select("gid", F.explode("members").alias("set_id")), labels)
     large = common.materialize(_labelled(groups.where("block >= 0").select("gid", F.explode("members").alias("set_id")), labels), "join-large")
-    if large.isEmpty():
+    sizes = common.materialize(large.groupBy("gid").agg(F.count("*").alias("n")), "join-sizes")
+    if sizes.isEmpty():
         return found
+    huge = sizes.where(F.col("n") > BLOCKS * (GROUP // 2)).select("gid")
+    if huge.isEmpty():
+        return found.unionByName(_paired(large))
+    rest, large = large.join(huge, "gid", "left_anti"), large.join(huge, "gid", "left_semi")
     contents = common.materialize(_contents(docs, n, large.select("set_id").distinct()), "join-large-sets")
 
     def again(batch):
@@ -413,22 +422,27 @@ def _second_look(docs: DataFrame, n: int, groups: DataFrame, labels: DataFrame,
     dealt = common.materialize(dealt.select(F.col("gid").alias("whole"), F.xxhash64("gid", "sig").alias("gid"), "set_id", "label").distinct(), "join-dealt")
     parts = dealt.groupBy("whole", "gid").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
     parts = common.materialize(parts.select("whole", "gid", "n"), "join-parts")
-    # A group that falls into parts that cost as much as itself is left whole.
-    cost = parts.where(F.col("n") > GROUP).groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+    # A group whose parts together cost as much as itself is left whole.
+    cost = parts.groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
     dense = cost.join(large.groupBy(F.col("gid").alias("whole")).agg(F.count("*").alias("n")), "whole").where("cost >= n * n").select("whole")
     dense = common.materialize(dense, "join-dense")
     parts = parts.join(dense, "whole", "left_anti")
     found = found.unionByName(dealt.join(parts.where(F.col("n") <= GROUP).select("gid"), "gid", "left_semi").select("gid", "set_id", "label"))
     large = large.join(dense.withColumnRenamed("whole", "gid"), "gid", "left_semi").unionByName(dealt.join(parts.where(F.col("n") > GROUP).select("gid"), "gid", "left_semi").select("gid", "set_id", "label"))
-    # Block by block: members in order of their labels, pairs of blocks that have two labels.
+    return found.unionByName(_paired(rest.unionByName(large)))
+
+
+def _paired(large: DataFrame) -> DataFrame:
+    """Large groups block by block: members in order of their labels, pairs of blocks that have two labels."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("gid").orderBy("label", "set_id")) - 1
     blocks = common.materialize(large.withColumn("b", F.floor(place / (GROUP // 2)).cast("int")), "join-blocks")
     about = blocks.groupBy("gid", "b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    one, two = about.toDF("gid", "i", "lo", "hi"), about.toDF("gid", "j", "lo2", "hi2")
-    pairs = one.join(two, "gid").where("i < j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("gid", F.explode(F.array("i", "j")).alias("b"), F.xxhash64("gid", "i", "j").alias("pair"))
-    return found.unionByName(blocks.join(pairs, ["gid", "b"]).select(F.col("pair").alias("gid"), "set_id", "label"))
+    about = about.join(about.groupBy("gid").agg(F.max("b").alias("top")), "gid")
+    one, two = about.toDF("gid", "i", "lo", "hi", "top"), about.select("gid", F.col("b").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = one.join(two, "gid").where("(i < j or (i = j and top = 0)) and not (lo = hi and lo2 = hi2 and lo = lo2)").select("gid", F.explode(F.array_distinct(F.array("i", "j"))).alias("b"), F.xxhash64("gid", "i", "j").alias("pair"))
+    return blocks.join(pairs, ["gid", "b"]).select(F.col("pair").alias("gid"), "set_id", "label")
 
 
 def _met(member: DataFrame, meta: DataFrame) -> DataFrame:

