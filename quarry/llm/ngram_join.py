@@ -389,9 +389,20 @@ def _first_look(groups: DataFrame) -> DataFrame:
     return small.unionByName(several.unionByName(many).select(F.xxhash64("gid", "i", "j").alias("gid"), F.explode(F.concat("first", "second")).alias("set_id")))
 
 
-def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """gid, set_id, label of the groups that have several labels."""
-    member = member.join(labels, F.col("set_id") == F.col("node"), "left").select("gid", "set_id", F.coalesce("label", "set_id").alias("label"))
+def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """gid, set_id, label of the members of ``groups``; a set without a label is its own."""
+    member = groups.select("gid", F.explode("members").alias("set_id"))
+    return member.join(labels, F.col("set_id") == F.col("node"), "left").select("gid", "set_id", F.coalesce("label", "set_id").alias("label"))
+
+
+def _mixed_small(member: DataFrame) -> DataFrame:
+    """The groups, of at most GROUP members each, that have several labels; put together once, so a group crosses the shuffle in few rows."""
+    whole = member.groupBy("gid").agg(F.collect_list(F.struct("set_id", "label")).alias("m"), F.min("label").alias("a"), F.max("label").alias("b"))
+    return whole.where("a <> b").select("gid", F.inline("m"))
+
+
+def _mixed_large(member: DataFrame) -> DataFrame:
+    """The groups, of any size, that have several labels."""
     mixed = member.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid")
     return member.join(mixed, "gid", "left_semi")
 
@@ -399,8 +410,8 @@ def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
 def _second_look(docs: DataFrame, n: int, groups: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
     """gid, set_id, label of groups that hold every pair of sets that share a signature and differ in label."""
     p, q = bands.p, bands.q
-    found = _labelled(groups.where("block < 0").select("gid", F.explode("members").alias("set_id")), labels)
-    large = common.materialize(_labelled(groups.where("block >= 0").select("gid", F.explode("members").alias("set_id")), labels), "join-large")
+    found = _mixed_small(_labelled(groups.where("block < 0"), labels))
+    large = common.materialize(_mixed_large(_labelled(groups.where("block >= 0"), labels)), "join-large")
     sizes = common.materialize(large.groupBy("gid").agg(F.count("*").alias("n")), "join-sizes")
     if sizes.isEmpty():
         return found
